@@ -14,7 +14,7 @@ class Prior:
     """One history feature: what is taken over the earlier rows of the key."""
 
     out: str
-    kind: str  # count | sum | mean | rolling | last
+    kind: str  # count | sum | mean | rolling | last | latest
     col: str | None = None
     n: int = 0
 
@@ -39,41 +39,52 @@ def previous(out: str, col: str) -> Prior:
     return Prior(out, "last", col)
 
 
-def _plain(spec: Prior, w) -> Column:
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+def latest(out: str, col: str) -> Prior:
+    """Last earlier value that is not null."""
+    return Prior(out, "latest", col)
+
+
+def _plain(spec: Prior, w, own: int) -> Column:
+    before = w.rowsBetween(Window.unboundedPreceding, own - 1)
     if spec.kind == "count":
-        e = (F.row_number().over(w) - 1).cast("long")
+        e = (F.row_number().over(w) - 1 + own).cast("long")
     elif spec.kind == "sum":
         e = F.coalesce(F.sum(spec.col).over(before), F.lit(0))
     elif spec.kind == "mean":
         e = F.avg(spec.col).over(before)
     elif spec.kind == "last":
-        e = F.lag(spec.col).over(w)
+        e = F.col(spec.col) if own else F.lag(spec.col).over(w)
+    elif spec.kind == "latest":
+        e = F.last(spec.col, ignorenulls=True).over(before)
     elif spec.kind == "rolling":
-        e = F.avg(spec.col).over(w.rowsBetween(-spec.n, -1))
+        e = F.avg(spec.col).over(w.rowsBetween(own - spec.n, own - 1))
     else:
         raise ValueError(spec.kind)
     return e.alias(spec.out)
 
 
-def _chunked(rows: DataFrame, keys, order, specs) -> DataFrame:
+def _chunked(rows: DataFrame, keys, order, specs, own: int) -> DataFrame:
     """The same features when a key is cut into chunks: local windows plus what came before.
 
     Per (key, chunk) only totals and the last few rows are carried forward.
     """
     base = rows.columns
-    cols = sorted({s.col for s in specs if s.col})
+    cols = sorted({s.col for s in specs if s.kind in ("sum", "mean")})
+    kept = sorted({s.col for s in specs if s.kind in ("rolling", "last")})
+    lasts = sorted({s.col for s in specs if s.kind == "latest"})
     keep = max([s.n for s in specs if s.kind == "rolling"] + [1])
     at = [*keys, "_chunk"]
     w = Window.partitionBy(*at).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = w.rowsBetween(Window.unboundedPreceding, own - 1)
 
     local = [F.row_number().over(w).alias("_rn")]
+    for c in lasts:
+        local += [F.last(c, ignorenulls=True).over(before).alias(f"_ll_{c}")]
     for c in cols:
         local += [F.sum(c).over(before).alias(f"_ls_{c}"), F.count(c).over(before).alias(f"_lc_{c}")]
     for s in specs:
         if s.kind == "rolling":
-            frame = w.rowsBetween(-s.n, -1)
+            frame = w.rowsBetween(own - s.n, own - 1)
             local += [F.sum(s.col).over(frame).alias(f"_rs_{s.out}")]
             local += [F.count(s.col).over(frame).alias(f"_rc_{s.out}")]
         if s.kind == "last":
@@ -84,10 +95,11 @@ def _chunked(rows: DataFrame, keys, order, specs) -> DataFrame:
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_s_{c}") for c in cols],
         *[F.count(c).alias(f"_c_{c}") for c in cols],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l_{c}") for c in lasts],
     )
     back = Window.partitionBy(*at).orderBy(*[F.desc(c) for c in order])
     value = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                     *[F.col(c).alias(f"v_{c}") for c in cols])
+                     *[F.col(c).alias(f"v_{c}") for c in kept])
     tails = (
         rows.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= keep)
         .groupBy(*at).agg(F.sort_array(F.collect_list(value)).alias("_tail"))
@@ -99,6 +111,7 @@ def _chunked(rows: DataFrame, keys, order, specs) -> DataFrame:
         F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_pn"),
         *[F.sum(f"_s_{c}").over(past).alias(f"_ps_{c}") for c in cols],
         *[F.coalesce(F.sum(f"_c_{c}").over(past), F.lit(0)).alias(f"_pc_{c}") for c in cols],
+        *[F.last(f"_l_{c}", ignorenulls=True).over(past).alias(f"_pl_{c}") for c in lasts],
         F.flatten(F.collect_list("_tail").over(chunks.rowsBetween(-keep, -1))).alias("_past"),
     )
     full = join_same(here, carry, at, "left")
@@ -109,16 +122,20 @@ def _chunked(rows: DataFrame, keys, order, specs) -> DataFrame:
     out = []
     for s in specs:
         if s.kind == "count":
-            e = (F.col("_pn") + F.col("_rn") - 1).cast("long")
+            e = (F.col("_pn") + F.col("_rn") - 1 + own).cast("long")
         elif s.kind == "sum":
             e = total(s.col)
         elif s.kind == "mean":
             e = F.try_divide(total(s.col).cast("double"), F.col(f"_pc_{s.col}") + F.col(f"_lc_{s.col}"))
+        elif s.kind == "latest":
+            e = F.coalesce(F.col(f"_ll_{s.col}"), F.col(f"_pl_{s.col}"))
+        elif s.kind == "last" and own:
+            e = F.col(s.col)
         elif s.kind == "last":
             e = F.when(F.col("_rn") > 1, F.col(f"_lag_{s.out}")).otherwise(
                 F.try_element_at("_past", F.lit(-1))[f"v_{s.col}"])
         else:
-            m = F.greatest(F.lit(s.n) - (F.col("_rn") - 1), F.lit(0))
+            m = F.greatest(F.lit(s.n - own) - (F.col("_rn") - 1), F.lit(0))
             size = F.size("_past")
             tail = F.slice("_past", F.greatest(size - m + 1, F.lit(1)), F.least(m, size))
             vals = F.filter(F.transform(tail, lambda r: r[f"v_{s.col}"].cast("double")),
@@ -131,13 +148,16 @@ def _chunked(rows: DataFrame, keys, order, specs) -> DataFrame:
     return full.select(*base, *out)
 
 
-def prior_features(df: DataFrame, keysets, order, hot: HotGroups | None = None) -> DataFrame:
+def prior_features(df: DataFrame, keysets, order, hot: HotGroups | None = None,
+                   inclusive: bool = False) -> DataFrame:
     """History features for one or more key sets that all contain the first one.
 
+    ``inclusive`` lets the row itself count as the latest one: the state after the event.
+
     ``keysets`` is a list of (keys, specs). The first key set is the coarsest, so one shuffle on
     it serves every window of ordinary keys.
     """
-    order = list(order)
+    order, own = list(order), int(inclusive)
     coarse = list(keysets[0][0])
     for keys, _ in keysets:
         if not set(coarse) <= set(keys):
@@ -147,12 +167,13 @@ def prior_features(df: DataFrame, keysets, order, hot: HotGroups | None = None)
     plain = cold
     for keys, specs in keysets:
         w = Window.partitionBy(*keys).orderBy(*order)
-        plain = plain.select("*", *[_plain(s, w) for s in specs])
+        plain = plain.select("*", *[_plain(s, w, own) for s in specs])
     if big is None:
         return plain
     big = chunk_hot(big, hot, order)
     for keys, specs in keysets:
-        big = _chunked(big, list(keys), order, specs)
+        if specs:
+            big = _chunked(big, list(keys), order, specs, own)
     return plain.unionByName(big.drop("_chunk"))
 
 
