@@ -94,7 +94,7 @@ def any_of(*preds: Column) -> Column:
 # --- dates and times -------------------------------------------------------------------------
 
 def parse_date(c) -> Column:
-    return F.try_to_date(col(c), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(col(c), "yyyy-MM-dd")
 
 
 def iso_date(c) -> Column:
@@ -143,8 +143,8 @@ def canonical_sha256(*cols: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
 
 
-def has_pair(pairs, a, b) -> Column:
-    return F.exists(col(pairs), lambda p: (p[0] == col(a)) & (p[1] == col(b)))
+def has_pair(pairs, a, b, fields=("a", "b")) -> Column:
+    return F.exists(col(pairs), lambda p: (p[fields[0]] == col(a)) & (p[fields[1]] == col(b)))
 
 
 def same_members(a, b) -> Column:
@@ -160,8 +160,8 @@ def display_name(c) -> Column:
 
 
 def fixed_digits(c, digits: int) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", col(c)), F.lit("n/a"))
+    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", col(c))).otherwise("n/a")
 
 
 def percent(c, digits: int = 1) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", col(c) * 100), F.lit("n/a"))
+    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f%%", col(c) * 100)).otherwise("n/a")
