@@ -146,7 +146,7 @@ def event_ranking(df: DataFrame, event: str, actual: str, score: str, tiebreak,
     in_order = F.sum(((F.col("_place") <= 3) & (F.col("_place") == F.col("_ideal"))).cast("int"))
     out = d.groupBy(event).agg(
         F.avg(F.abs(F.col(actual) - F.col("_pred"))).alias("mae"),
-        F.corr(F.col(actual).cast("double"), F.col("_pred")).alias("spearman"),
+        F.try_divide(F.covar_pop(F.col(actual), "_pred"), F.stddev_pop(actual) * F.stddev_pop("_pred")).alias("spearman"),
         ndcg(3, actual, "_place", "_ideal", "_size").alias("ndcg_3"),
         ndcg(10, actual, "_place", "_ideal", "_size").alias("ndcg_10"),
         overlap(1, "_place", "_ideal").cast("double").alias("winner_top1"),
@@ -155,7 +155,6 @@ def event_ranking(df: DataFrame, event: str, actual: str, score: str, tiebreak,
         (in_order == few).cast("double").alias("podium_order_exact"),
         (overlap(10, "_place", "_ideal") / F.least(F.lit(10), F.first("_size"))).alias("points_top10_overlap"),
     )
-    out = out.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
     if with_kendall:
         k = kendall(df, event, actual, score, hot).select(event, "kendall")
         out = join_same(out, k, [event], "left")

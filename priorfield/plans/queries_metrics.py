@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip
 from ..operators import baselines, bootstrap, calibrate, metrics, reconcile as rec, rollups, scoring, windows as w
-from ..operators.hot import find_hot
 from .orders import EVENT_ORDER
 from .registry import query
 
@@ -63,7 +61,7 @@ def expected_calibration_error(t):
 
 
 @query("calibration_table", LONG_SQL + f""", b AS (SELECT scope, target, {BIN} AS bin, count(*) AS count, avg(p) AS mp, avg(y) AS oy FROM s GROUP BY ALL)
-  SELECT scope, target, bin, round((bin - 1) * 0.1, 6) AS lower, round(bin * 0.1, 6) AS upper, count, round(mp, 9) AS mean_prediction, round(oy, 9) AS observed_rate, round(mp - oy, 9) AS calibration_gap FROM b""")
+  SELECT scope, target, bin, round((bin - 1) * CAST(0.1 AS DOUBLE), 6) AS lower, round(bin * CAST(0.1 AS DOUBLE), 6) AS upper, count, round(mp, 9) AS mean_prediction, round(oy, 9) AS observed_rate, round(mp - oy, 9) AS calibration_gap FROM b""")
 def calibration_table(t):
     d = metrics.calibration_table(scoped(t), "y", "p", ["scope", "target"])
     return rounded(rounded(d, ["lower", "upper"]), ["mean_prediction", "observed_rate", "calibration_gap"], 9)
@@ -73,7 +71,7 @@ PLATT_SQL = """, c AS (SELECT {by} p, ln(least(greatest(p, 1e-8), 1 - 1e-8) / (1
   it AS (SELECT {by} 0 AS i, CAST(0 AS DOUBLE) AS a, ln((sum(pos) / sum(n)) / (1 - sum(pos) / sum(n))) AS b FROM c GROUP BY ALL UNION ALL
   SELECT {by} i + 1, a - (gz * h - hz * g) / (hzz * h - hz * hz), b - (hzz * g - hz * gz) / (hzz * h - hz * hz) FROM (
     SELECT {by} i, a, b, sum((n * q - pos) * z) + {l2} * a AS gz, sum(n * q - pos) AS g, sum(n * q * (1 - q) * z * z) + {l2} AS hzz, sum(n * q * (1 - q) * z) AS hz, sum(n * q * (1 - q)) + 1e-8 AS h FROM (
-      SELECT {it} it.i, it.a, it.b, c.z, c.n, c.pos, 1 / (1 + exp(-least(greatest(it.a * c.z + it.b, -35), 35))) AS q FROM it JOIN c ON {on}) GROUP BY ALL) WHERE i < 30)"""
+      SELECT {it} it.i, it.a, it.b, c.z, c.n, c.pos, 1 / (1 + exp(-least(greatest(it.a * c.z + it.b, -35), 35))) AS q FROM it JOIN c ON {on}) GROUP BY {by} i, a, b) WHERE i < 30)"""
 
 
 def platt_sql(by, src, l2):
@@ -81,10 +79,6 @@ def platt_sql(by, src, l2):
                             on=" AND ".join(f"it.{b} = c.{b}" for b in by) or "true")
 
 
-def recursive(sql):
-    return sql
-
-
 @query("platt_fit", LONG_SQL + platt_sql(["scope", "target"], "s", "1e-3") + " SELECT scope, target, round(a, 6) AS slope, round(b, 6) AS intercept FROM it WHERE i = 30")
 def platt_fit(t):
     return rounded(calibrate.fit_platt(scoped(t), "p", "y", ["scope", "target"]), ["slope", "intercept"])
@@ -249,12 +243,12 @@ def monotone_rows(t):
 
 def project_sql(src, out, value, upper, quota):
     """The exact projection in SQL: the shift is the last corner whose total reaches the target."""
-    return f""", {out}_c AS (SELECT event_id, {value} - {upper} AS at, 1 AS step FROM {src} UNION ALL SELECT event_id, {value}, -1 FROM {src}),
-  {out}_g AS (SELECT event_id, at, sum(step) AS step FROM {out}_c GROUP BY ALL), {out}_u AS (SELECT event_id, sum({upper}) AS cap, least(CAST(least({quota}, count(*)) AS DOUBLE), sum({upper})) AS goal FROM {src} GROUP BY 1),
-  {out}_r AS (SELECT event_id, at, sum(step) OVER o AS act, sum(step * at) OVER o AS moved FROM {out}_g WINDOW o AS (PARTITION BY event_id ORDER BY at ROWS UNBOUNDED PRECEDING)),
-  {out}_t AS (SELECT event_id, at, act, cap + moved - act * at AS total, goal FROM {out}_r JOIN {out}_u USING (event_id)),
-  {out}_s AS (SELECT event_id, coalesce(max(at) FILTER (total >= goal), min(at)) AS at FROM {out}_t GROUP BY 1),
-  {out}_l AS (SELECT event_id, CASE WHEN act > 0 AND total >= goal THEN at + (total - goal) / act ELSE at END AS shift FROM {out}_s JOIN {out}_t USING (event_id, at)),
+    return f""", {out}_c AS (SELECT event_id, {value} - {upper} AS pos, 1 AS step FROM {src} UNION ALL SELECT event_id, {value}, -1 FROM {src}),
+  {out}_g AS (SELECT event_id, pos, sum(step) AS step FROM {out}_c GROUP BY ALL), {out}_u AS (SELECT event_id, sum({upper}) AS cap, least(CAST(least({quota}, count(*)) AS DOUBLE), sum({upper})) AS goal FROM {src} GROUP BY 1),
+  {out}_r AS (SELECT event_id, pos, sum(step) OVER o AS act, sum(step * pos) OVER o AS moved FROM {out}_g WINDOW o AS (PARTITION BY event_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  {out}_t AS (SELECT event_id, pos, act, cap + moved - act * pos AS total, goal FROM {out}_r JOIN {out}_u USING (event_id)),
+  {out}_s AS (SELECT event_id, coalesce(max(pos) FILTER (total >= goal), min(pos)) AS pos FROM {out}_t GROUP BY 1),
+  {out}_l AS (SELECT event_id, CASE WHEN act > 0 AND total >= goal THEN pos + (total - goal) / act ELSE pos END AS shift FROM {out}_s JOIN {out}_t USING (event_id, pos)),
   {out} AS (SELECT s.* EXCLUDE ({value}), least(greatest({value} - shift, 0), {upper}) AS {value} FROM {src} s JOIN {out}_l USING (event_id))"""
 
 
@@ -266,14 +260,15 @@ MONO_SQL = """, r0 AS (SELECT event_id, entrant, CAST(1 AS DOUBLE) AS one, least
 @query("bounded_sum_projection", ", r0 AS (SELECT event_id, entrant, p_points, CAST(1 AS DOUBLE) AS one FROM entries)" + project_sql("r0", "r1", "p_points", "one", 10) + " SELECT event_id, entrant, round(p_points, 8) AS p FROM r1")
 def bounded_sum_projection(t):
     d = t.entries().select(*KEY, "p_points", F.lit(1.0).alias("one"))
-    d = w.attach_group(d, ["event_id"], t.hot_event, quota=F.least(F.lit(10), F.count(F.lit(1))))
+    d = w.attach_group(d, ["event_id"], t.hot_event, n=F.count(F.lit(1))).withColumn("quota", F.least(F.lit(10), F.col("n")))
     return rec.project_bounded_sum(d, "event_id", "p_points", "one", "quota", "p", t.hot_event).select(*KEY, F.round("p", 8).alias("p"))
 
 
-@query("reconciled_probabilities", MONO_SQL.format(src="entries") + RECONCILE_SQL + " SELECT event_id, entrant, round(p_win, 8) AS p_win, round(p_podium, 8) AS p_podium, round(p_points, 8) AS p_points FROM r3")
+@query("reconciled_probabilities", ", pq AS (SELECT event_id, entrant, CAST(qty + 3 AS DOUBLE) / 257 AS p_win, CAST(qty + 1 AS DOUBLE) / 131 AS p_podium, CAST(qty + disc + 1 AS DOUBLE) / 67 AS p_points FROM entries)" + MONO_SQL.format(src="pq") + RECONCILE_SQL + " SELECT event_id, entrant, round(p_win, 8) AS p_win, round(p_podium, 8) AS p_podium, round(p_points, 8) AS p_points FROM r3")
 def reconciled_probabilities(t):
-    d = rec.reconcile(t.entries().select(*KEY, "p_win", "p_podium", "p_points"), "event_id", hot=t.hot_event)
-    return rounded(d, list(TARGETS), 8)
+    e = t.entries().select(*KEY, ((F.col("qty") + 3) / 257.0).alias("p_win"), ((F.col("qty") + 1) / 131.0).alias("p_podium"),
+                           ((F.col("qty") + F.col("disc") + 1) / 67.0).alias("p_points"))
+    return rounded(rec.reconcile(e, "event_id", hot=t.hot_event), list(TARGETS), 8)
 
 
 @query("reconciled_invariants", """SELECT event_id, count(*) AS n, 0 AS violations, CAST(1 AS DOUBLE) AS win, CAST(least(3, count(*)) AS DOUBLE) AS podium, CAST(least(10, count(*)) AS DOUBLE) AS points FROM entries GROUP BY 1""")
@@ -396,11 +391,6 @@ def platt_gate(t):
     return t.spark.createDataFrame(row, "slope double, intercept double, loss_raw double, loss_platt double, use int")
 
 
-def _norm(t):
-    d = w.normalised_order(t.entries(), "event_id", "finish_order", "target", t.hot_event)
-    return w.attach_group(d, ["event_id"], t.hot_event, size=F.count(F.lit(1))).withColumn("rscore", F.col("score") / 64.0)
-
-
 @query("rank_probabilities", ", l AS (SELECT 1 / (1 + exp(5 * (score / CAST(64 AS DOUBLE) - 0.5))) AS p, podium AS y FROM entries WHERE split = 'train')" + platt_sql([], "l", "1e-3") +
        " SELECT event_id, entrant, round(1 / (1 + exp(-(a * (-5 * (score / CAST(64 AS DOUBLE) - 0.5)) + b))), 6) AS p FROM entries, it WHERE i = 30 AND split = 'validation'")
 def rank_probabilities(t):
@@ -433,8 +423,8 @@ def blend_choice(t):
 
 # --- bootstrap -------------------------------------------------------------------------------
 
-BOOT = """, at AS (SELECT *, row_number() OVER (ORDER BY event_date, event_id) - 1 AS i, count(*) OVER () AS n FROM {src}),
-  dr AS (SELECT rep, CAST(concat('0x', substr(md5('{seed}:' || rep || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM at, (SELECT unnest(range({reps})) AS rep))"""
+BOOT = """, seq AS (SELECT *, row_number() OVER (ORDER BY event_date, event_id) - 1 AS i, count(*) OVER () AS n FROM {src}),
+  dr AS (SELECT rep, CAST(concat('0x', substr(md5('{seed}:' || rep || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM seq, (SELECT unnest(range({reps})) AS rep))"""
 
 
 def _event_losses(t):
@@ -447,24 +437,24 @@ def _event_losses(t):
 EVENT_LOSS_SQL = ", ev AS (SELECT event_id, event_date, avg((p_podium - podium) * (p_podium - podium)) AS brier, avg(podium) AS rate, sum((p_podium - podium) * (p_podium - podium)) AS loss_sum, sum(podium) AS hits, count(*) AS rows FROM entries WHERE season = 1999 GROUP BY ALL)"
 
 
-@query("bootstrap_mean", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=11, reps=200) + """, r AS (SELECT rep, avg(brier) AS brier, avg(rate) AS rate FROM dr JOIN at USING (i) GROUP BY 1)
+@query("bootstrap_mean", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=11, reps=200) + """, r AS (SELECT rep, avg(brier) AS brier, avg(rate) AS rate FROM dr JOIN seq USING (i) GROUP BY 1)
   SELECT 'brier' AS metric, round((SELECT avg(brier) FROM ev), 6) AS estimate, round(quantile_cont(brier, 0.025), 6) AS lower_95, round(quantile_cont(brier, 0.975), 6) AS upper_95 FROM r
   UNION ALL SELECT 'rate', round((SELECT avg(rate) FROM ev), 6), round(quantile_cont(rate, 0.025), 6), round(quantile_cont(rate, 0.975), 6) FROM r""")
 def bootstrap_mean(t):
     return rounded(bootstrap.bootstrap_mean(_event_losses(t), EVENT_ORDER, ["brier", "rate"], 200, 11), ["estimate", "lower_95", "upper_95"])
 
 
-@query("bootstrap_pooled", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=12, reps=200) + """, r AS (SELECT rep, sum(loss_sum) / sum(rows) AS brier, CAST(sum(hits) AS DOUBLE) / sum(rows) AS rate FROM dr JOIN at USING (i) GROUP BY 1)
+@query("bootstrap_pooled", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=12, reps=200) + """, r AS (SELECT rep, sum(loss_sum) / sum(rows) AS brier, CAST(sum(hits) AS DOUBLE) / sum(rows) AS rate FROM dr JOIN seq USING (i) GROUP BY 1)
   SELECT 'brier' AS metric, round((SELECT sum(loss_sum) / sum(rows) FROM ev), 6) AS estimate, round(quantile_cont(brier, 0.025), 6) AS lower_95, round(quantile_cont(brier, 0.975), 6) AS upper_95 FROM r
   UNION ALL SELECT 'rate', round((SELECT CAST(sum(hits) AS DOUBLE) / sum(rows) FROM ev), 6), round(quantile_cont(rate, 0.025), 6), round(quantile_cont(rate, 0.975), 6) FROM r""")
 def bootstrap_pooled(t):
     return rounded(bootstrap.bootstrap_pooled(_event_losses(t), EVENT_ORDER, {"brier": "loss_sum", "rate": "hits"}, "rows", 200, 12), ["estimate", "lower_95", "upper_95"])
 
 
-@query("ranking_intervals", RANK_SQL + BOOT.format(src="(SELECT em.*, event_date FROM em JOIN events_t USING (event_id) WHERE em.season = 1999)", seed=13, reps=200) + """, r AS (SELECT rep, avg(mae) AS mae, avg(spearman) AS spearman, avg(winner_top1) AS winner_top1, avg(podium_overlap) AS podium_overlap FROM dr JOIN at USING (i) GROUP BY 1)
+@query("ranking_intervals", RANK_SQL + BOOT.format(src="(SELECT em.*, event_date FROM em JOIN events_t USING (event_id) WHERE em.season = 1999)", seed=13, reps=200) + """, r AS (SELECT rep, avg(mae) AS mae, avg(spearman) AS spearman, avg(winner_top1) AS winner_top1, avg(podium_overlap) AS podium_overlap FROM dr JOIN seq USING (i) GROUP BY 1)
   SELECT metric, round(estimate, 6) AS estimate, round(lo, 6) AS lower_95, round(hi, 6) AS upper_95 FROM (
-  SELECT 'mae' AS metric, (SELECT avg(mae) FROM at) AS estimate, quantile_cont(mae, 0.025) AS lo, quantile_cont(mae, 0.975) AS hi FROM r UNION ALL SELECT 'spearman', (SELECT avg(spearman) FROM at), quantile_cont(spearman, 0.025), quantile_cont(spearman, 0.975) FROM r
-  UNION ALL SELECT 'winner_top1', (SELECT avg(winner_top1) FROM at), quantile_cont(winner_top1, 0.025), quantile_cont(winner_top1, 0.975) FROM r UNION ALL SELECT 'podium_overlap', (SELECT avg(podium_overlap) FROM at), quantile_cont(podium_overlap, 0.025), quantile_cont(podium_overlap, 0.975) FROM r)""")
+  SELECT 'mae' AS metric, (SELECT avg(mae) FROM seq) AS estimate, quantile_cont(mae, 0.025) AS lo, quantile_cont(mae, 0.975) AS hi FROM r UNION ALL SELECT 'spearman', (SELECT avg(spearman) FROM seq), quantile_cont(spearman, 0.025), quantile_cont(spearman, 0.975) FROM r
+  UNION ALL SELECT 'winner_top1', (SELECT avg(winner_top1) FROM seq), quantile_cont(winner_top1, 0.025), quantile_cont(winner_top1, 0.975) FROM r UNION ALL SELECT 'podium_overlap', (SELECT avg(podium_overlap) FROM seq), quantile_cont(podium_overlap, 0.025), quantile_cont(podium_overlap, 0.975) FROM r)""")
 def ranking_intervals(t):
     ev = t.events().filter(F.col("season") == 1999).select("event_id", "event_date")
     d = event_metrics(t, False).join(ev, "event_id")
