@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 MAX_ROWS_KEY = "spark.priorfield.maxGroupRows"
 MAX_ROWS_DEFAULT = 1_000_000
 MAX_HOT = 20_000
@@ -68,11 +70,29 @@ def find_hot(df: DataFrame, keys, max_rows: int | None = None) -> HotGroups:
 
 
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys)."""
+    """(rows of ordinary keys, rows of hot keys).
+
+    The hot rows are written once to the shared folder: several branches read them, and without
+    the copy every operator in a chain would multiply the plan.
+    """
     if not hot:
         return df, None
     few = hot.rows.select(*hot.keys)
-    return join_same(df, few, hot.keys, "left_anti", True), join_same(df, few, hot.keys, "left_semi", True)
+    big = join_same(df, few, hot.keys, "left_semi", True)
+    return join_same(df, few, hot.keys, "left_anti", True), materialize(big)
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
+    """Spread hot keys of a join: left rows get a salt from their own hash, right rows are copied
+    once per salt. Copies are made for hot keys only, so their number is bounded."""
+    n = F.ceil(F.col("_hot_rows") / F.lit(hot.chunk_rows)).cast("long").alias("_salts")
+    plan = hot.renamed(key).rows.select(key, n)
+    row = F.pmod(F.xxhash64(*left.columns), F.col("_salts"))
+    a = join_same(left, plan, [key], "left", True).withColumn("_salt", F.coalesce(row, F.lit(0).cast("long"))).drop("_salts")
+    last = F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1
+    b = join_same(right, plan, [key], "left", True).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_salts")
+    return a, b
 
 
 def find_index(bounds: Column, x: Column) -> Column:

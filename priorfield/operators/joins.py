@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .hot import HotGroups, join_same, split_hot
+from .hot import HotGroups, join_same, salted
 from .windows import attach_group, last_per, next_in
 
 
@@ -31,14 +31,12 @@ def join_nullsafe(left: DataFrame, right: DataFrame, on, how: str = "inner") ->
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, hot: HotGroups | None = None) -> DataFrame:
-    """Left join to a unique dimension. Rows of hot keys meet only the dimension rows of those
-    keys, whose number is bounded, so that part is broadcast; Spark picks the plan for the rest."""
+    """Left join to a unique dimension. Spark picks the plan; rows of hot keys are salted so no
+    task gets all of them."""
     if not hot:
         return df.join(dim, key, "left")
-    hot = hot.renamed(key)
-    cold, big = split_hot(df, hot)
-    few = dim.join(F.broadcast(hot.rows.select(key)), key, "left_semi")
-    return cold.join(dim, key, "left").unionByName(big.join(F.broadcast(few), key, "left"))
+    a, b = salted(df, dim, key, hot)
+    return a.join(b, [key, "_salt"], "left").drop("_salt")
 
 
 def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
