@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .hot import HotGroups
 from .windows import event_seq
 
@@ -16,14 +17,14 @@ def draw(seed: int, rep, slot, n) -> Column:
 
 
 def _resample(events: DataFrame, order, values, reps: int, seed: int, hot: HotGroups | None):
-    """(rep, values) of every drawn event. Draws are counted per (rep, event) before the join,
-    and the join key is the event, of which no value repeats more than once per repetition."""
+    """(rep, values) of every drawn event. The join key is the event, which every repetition
+    draws about once, so the draws spread evenly."""
+    events = materialize(events)  # read by the sequence, the count and the join
     at = event_seq(events.select(*order, *[v for v in values if v not in order]), order, "_at", hot)
     n = events.agg(F.count(F.lit(1)).alias("_n")).scalar()
     grid = at.select("_at", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     drawn = grid.select("rep", draw(seed, "rep", "_at", "_n").alias("_at"))
-    drawn = drawn.groupBy("_at", "rep").agg(F.count(F.lit(1)).alias("_times"))
-    return drawn.join(at, "_at").select("rep", "_times", *values)
+    return drawn.join(at, "_at").select("rep", *values)
 
 
 def _interval(samples: DataFrame, points: DataFrame, metrics) -> DataFrame:
@@ -41,7 +42,7 @@ def bootstrap_mean(events: DataFrame, order, metrics, reps: int, seed: int, hot:
     """Interval of the mean of per-event values."""
     metrics = list(metrics)
     d = _resample(events, list(order), metrics, reps, seed, hot)
-    means = [(F.sum(F.col(m) * F.col("_times")) / F.sum(F.when(F.col(m).isNotNull(), F.col("_times")))).alias(m) for m in metrics]
+    means = [F.avg(m).alias(m) for m in metrics]
     point = events.agg(*[F.avg(m).alias(m) for m in metrics])
     return _interval(d.groupBy("rep").agg(*means), point, metrics)
 
@@ -53,7 +54,6 @@ def bootstrap_pooled(events: DataFrame, order, sums: dict[str, str], rows: str,
     ``sums`` maps metric name to the per-event sum column; ``rows`` is the per-event row count.
     """
     d = _resample(events, list(order), [*sums.values(), rows], reps, seed, hot)
-    size = F.sum(F.col(rows) * F.col("_times"))
-    ratios = [(F.sum(F.col(c) * F.col("_times")) / size).alias(m) for m, c in sums.items()]
+    ratios = [(F.sum(c) / F.sum(rows)).alias(m) for m, c in sums.items()]
     point = events.agg(*[(F.sum(c) / F.sum(rows)).alias(m) for m, c in sums.items()])
     return _interval(d.groupBy("rep").agg(*ratios), point, list(sums))

@@ -52,15 +52,18 @@ def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner", small
     return got if how in ("left_semi", "left_anti") else got.drop(*[f"_r_{k}" for k in keys])
 
 
-def find_hot(df: DataFrame, keys, max_rows: int | None = None) -> HotGroups:
+def find_hot(df: DataFrame, keys, max_rows: int | None = None, weight: str | None = None) -> HotGroups:
     """Count rows per key (map-side combined) and keep the keys above the limit.
 
-    The limit grows with the table, so at most MAX_HOT keys can exceed it.
+    At most MAX_HOT keys are kept, the largest ones; chunks grow with the table so that their
+    number is bounded too. ``weight`` sums a count column of a table counted before. Keys may be
+    counted on a narrower table than the one to be split: an upper bound is enough.
     """
     spark, keys = df.sparkSession, tuple(keys)
     if max_rows is None:
         max_rows = int(spark.conf.get(MAX_ROWS_KEY, str(MAX_ROWS_DEFAULT)))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_rows"))
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.groupBy(*keys).agg(size.cast("long").alias("_hot_rows"))
     above = counts.filter(F.col("_hot_rows") > max_rows)
     found = above.orderBy(F.desc("_hot_rows")).limit(MAX_HOT).collect()
     if not found:

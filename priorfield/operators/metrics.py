@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .hot import HotGroups, find_hot, join_same
 from .windows import attach_group, prior_count, prior_features, prior_sum, rank_average, rank_first
 
@@ -40,6 +41,8 @@ def roc_auc(df: DataFrame, y: str, p: str, by, hot: HotGroups | None = None) ->
     by = list(by)
     c = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("_pos"),
                                F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
+    if hot is None:
+        c = materialize(c)
     c = prior_features(c, [(by, [prior_sum("_below", "_neg")])], [p], hot)
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")

@@ -9,6 +9,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expr import MISSING_TOKEN, finite_or_null
+from ..session import materialize
 from .windows import prior_features, prior_sum
 
 
@@ -21,6 +22,7 @@ def exact_median(df: DataFrame, cols) -> DataFrame:
     """Exact median per column from counts per distinct value; no column passes one task whole."""
     c = long_values(df, cols).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("_n"))
+    c = materialize(c)
     c = prior_features(c, [(["column"], [prior_sum("_before", "_n")])], ["value"])
     size = c.groupBy("column").agg(F.sum("_n").alias("_all"))
     c = c.join(F.broadcast(size), "column")  # one row per column

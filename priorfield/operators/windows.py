@@ -269,9 +269,10 @@ def event_seq(events: DataFrame, order, out: str = "event_index", hot: HotGroups
     return prior_features(one, [(["_all"], [prior_count(out)])], order, hot).drop("_all")
 
 
-def assign_blocks(events: DataFrame, order, sizes: dict[str, int], rest: str, out: str = "block") -> DataFrame:
+def assign_blocks(events: DataFrame, order, sizes: dict[str, int], rest: str, out: str = "block",
+                  hot: HotGroups | None = None) -> DataFrame:
     """Name consecutive chronological blocks of the given sizes; what is left is ``rest``."""
-    seq = event_seq(events, order, "_seq")
+    seq = event_seq(events, order, "_seq", hot)
     label, start = F, 0
     for name, size in sizes.items():
         label = label.when(F.col("_seq") < start + size, F.lit(name))

@@ -16,6 +16,7 @@ from ..functions.expr import flag
 from ..operators.hot import HotGroups, find_hot
 from ..operators.joins import lookup
 from ..operators.windows import first_per, rank_first
+from ..session import materialize
 
 EVENT_ORDER = ["event_date", "event_id"]
 TRAIN_END, VALIDATION, TEST_START = 1998, 1999, 2000
@@ -37,6 +38,30 @@ class OrderTables:
     def hot_entrant(self) -> HotGroups:
         return find_hot(self.read("lineitem").select(F.col("l_suppkey").alias("entrant")), ["entrant"])
 
+    @cached_property
+    def hot_group(self) -> HotGroups:
+        """Groups by their number of lines: counted per supplier first, then per nation."""
+        n = self.read("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+        d = n.join(self.read("supplier").select("s_suppkey", F.col("s_nationkey").alias("grp")), "s_suppkey")
+        return find_hot(d, ["grp"], weight="n")
+
+    @cached_property
+    def hot_venue(self) -> HotGroups:
+        n = self.read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+        d = n.join(self.read("customer").select("c_custkey", F.col("c_nationkey").alias("venue")), "c_custkey")
+        return find_hot(d, ["venue"], weight="n")
+
+    @cached_property
+    def hot_all(self) -> HotGroups:
+        """The whole list of events as one group, for global sequences."""
+        n = self.read("orders").select(F.lit(1).alias("_all"))
+        return find_hot(n, ["_all"])
+
+    def saved(self, *cols: str) -> DataFrame:
+        """The history frame written once, for plans that read it in several branches."""
+        d = self.entries()
+        return materialize(d.select(*cols) if cols else d)
+
     def events(self) -> DataFrame:
         """One row per event: date, season, venue."""
         o = self.read("orders").select(

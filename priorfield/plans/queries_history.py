@@ -198,7 +198,7 @@ def next_event_in_season(t):
 
 @query("event_sequence", "SELECT event_id, row_number() OVER (ORDER BY event_date, event_id) - 1 AS event_index FROM events_t", base="events")
 def event_sequence(t):
-    return w.event_seq(t.events(), EVENT_ORDER).select("event_id", "event_index")
+    return w.event_seq(t.events(), EVENT_ORDER, hot=t.hot_all).select("event_id", "event_index")
 
 
 @query("validation_blocks", """SELECT event_id, CASE WHEN i < 8 THEN 'calibration' WHEN i < 15 THEN 'selection' ELSE 'report' END AS block FROM (
@@ -296,7 +296,7 @@ def venue_event_rollup(t):
 def venue_history(t):
     specs = [w.prior_count("prior_events"), w.prior_mean("avg_winner_slot", "winner_slot"), w.prior_mean("first_slot_win_rate", "first_slot_won"),
              w.prior_mean("h_dnf", "dnf_rate"), w.prior_mean("h_gained", "avg_gained")]
-    return w.prior_features(venue_rollup(t), [(["venue"], specs)], EVENT_ORDER).select(
+    return w.prior_features(venue_rollup(t), [(["venue"], specs)], EVENT_ORDER, t.hot_venue).select(
         "event_id", "venue", "prior_events", "avg_winner_slot", "first_slot_win_rate", F.round("h_dnf", 6).alias("dnf_rate"), F.round("h_gained", 6).alias("avg_gained"))
 
 
@@ -326,7 +326,7 @@ def group_history(t):
     career = [w.prior_count("n"), *[w.prior_sum(f"c_{c}", c) for c in sums],
               *[w.prior_rolling_mean(f"recent_{n}_{k}", c, n) for n in (3, 5, 10) for k, c in RECENT.items()]]
     season = [w.prior_count("sn"), *[w.prior_sum(f"s_{c}", c) for c in ("entries_n", "points", "dnfs")]]
-    d = w.prior_features(group_rollup(t), [(["grp"], career), (["grp", "season"], season)], EVENT_ORDER)
+    d = w.prior_features(group_rollup(t), [(["grp"], career), (["grp", "season"], season)], EVENT_ORDER, t.hot_group)
     return d.select(
         "event_id", "grp", F.col("n").alias("prior_events"), F.col("c_entries_n").alias("prior_entries"),
         safe_divide("c_points", "n").alias("points_per_event"), safe_divide("c_pf", "c_entries_n").alias("points_finish_rate"),
@@ -393,16 +393,14 @@ def prior_season_last_event(t):
   LEFT JOIN fin f ON f.season + 1 = h.season AND f.entrant = h.entrant WHERE h.season >= 1996""")
 def full_feature_table(t):
     """Entrant, group, venue and season history joined; the first season is cut after the windows."""
-    from ..session import materialize
-
-    base = materialize(t.entries())
+    base = t.saved()
     sets = entrant_keysets()
     h = w.prior_features(base, sets, EVENT_ORDER, t.hot_entrant)
     g = rollups.group_event_rollup(base, "event_id", "grp", ["event_date"], points=F.sum("points"))
-    g = w.prior_features(g, [(["grp"], [w.prior_count("g_events"), w.prior_sum("_p", "points")])], EVENT_ORDER)
+    g = w.prior_features(g, [(["grp"], [w.prior_count("g_events"), w.prior_sum("_p", "points")])], EVENT_ORDER, t.hot_group)
     g = g.select("event_id", "grp", "g_events", safe_divide("_p", "g_events").alias("g_points_per_event"))
     v = rollups.venue_event_rollup(base, "event_id", "venue", "win", "start_slot", ["event_date"])
-    v = w.prior_features(v, [(["venue"], [w.prior_count("v_events"), w.prior_mean("v_winner_slot", "winner_slot")])], EVENT_ORDER).select("event_id", "v_events", "v_winner_slot")
+    v = w.prior_features(v, [(["venue"], [w.prior_count("v_events"), w.prior_mean("v_winner_slot", "winner_slot")])], EVENT_ORDER, t.hot_venue).select("event_id", "v_events", "v_winner_slot")
     s = base.groupBy("season", "entrant").agg(F.sum("points").alias("previous_season_points")).withColumn("season", F.col("season") + 1)
     d = joins.join_nullsafe(h.filter(F.col("season") >= 1996), g, ["event_id", "grp"])
     d = joins.lookup(d, v, "event_id", t.hot_event)

@@ -29,7 +29,7 @@ LOSS = "-(y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(
 
 
 def scoped(t):
-    return metrics.with_scopes(long_targets(t.entries()), "season")
+    return metrics.with_scopes(long_targets(t.saved(*KEY, "season", *TARGETS, *TARGETS.values())), "season")
 
 
 @query("log_loss_brier", LONG_SQL + f" SELECT scope, target, round(avg({LOSS}), 8) AS log_loss, avg((p - y) * (p - y)) AS brier FROM s GROUP BY ALL")
@@ -91,7 +91,7 @@ def platt_fit(t):
   e AS (SELECT target, round(sum(abs(sp - sy)) / sum(n), 8) AS ece_10 FROM bb GROUP BY 1), pl AS (SELECT target, round(a, 6) AS calibration_slope, round(b, 6) AS calibration_intercept FROM it WHERE i = 30)
   SELECT * FROM m JOIN u USING (target) JOIN v USING (target) JOIN e USING (target) JOIN pl USING (target)""")
 def binary_metrics(t):
-    d = metrics.binary_metrics(long_targets(t.entries()), "y", "p", ["target"], KEY)
+    d = metrics.binary_metrics(long_targets(t.saved(*KEY, "season", *TARGETS, *TARGETS.values())), "y", "p", ["target"], KEY)
     return rounded(rounded(d, ["log_loss", "roc_auc", "average_precision", "ece_10"], 8), ["calibration_slope", "calibration_intercept"])
 
 
@@ -186,7 +186,7 @@ METHOD_SQL = """, ml AS (SELECT event_id, entrant, season, target, y, p, 'formul
 
 
 def methods_long(t):
-    d = long_targets(t.entries(), ["slot"])
+    d = long_targets(t.saved(*KEY, "season", "slot", *TARGETS, *TARGETS.values()), ["slot"])
     a, b = d.withColumn("method", F.lit("formula")), d.withColumn("p", F.col("slot") / 8.0).withColumn("method", F.lit("slot"))
     return a.unionByName(b).drop("slot")
 
@@ -320,14 +320,14 @@ RATE_SQL = """, tr AS (SELECT * FROM entries WHERE split = 'train'), pr AS (SELE
        + MONO_SQL.format(src="lk") + RECONCILE_SQL + " SELECT event_id, entrant, round(p_win, 6) AS p_win, round(p_podium, 6) AS p_podium, round(p_points, 6) AS p_points FROM r3")
 def slot_frequency(t):
     """Smoothed rate of each start slot on training rows, looked up on validation rows, reconciled."""
-    e = t.entries().drop(*TARGETS)
+    e = t.saved().drop(*TARGETS)
     d = baselines.rate_probabilities(e.filter(F.col("split") == "train"), e.filter(F.col("split") == "validation"), "slot", TARGETS, 8.0)
     return rounded(rec.reconcile(d.select(*KEY, *TARGETS), "event_id", hot=t.hot_event), list(TARGETS), 6)
 
 
 @query("prior_rate", ", tr AS (SELECT avg(win) AS p_win, avg(podium) AS p_podium, avg(points_finish) AS p_points FROM entries WHERE split = 'train') SELECT event_id, entrant, round(tr.p_win, 9) AS p_win, round(tr.p_podium, 9) AS p_podium, round(tr.p_points, 9) AS p_points FROM entries, tr WHERE split <> 'train'")
 def prior_rate(t):
-    e = t.entries().drop(*TARGETS)
+    e = t.saved().drop(*TARGETS)
     d = baselines.prior_rate(e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train"), TARGETS)
     return rounded(d.select(*KEY, *TARGETS), list(TARGETS), 9)
 
@@ -335,7 +335,7 @@ def prior_rate(t):
 @query("rank_rate", """, e2 AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY qty DESC, entrant) AS rank FROM entries)""" + RATE_SQL.format(key="rank", wt="CAST(20 AS DOUBLE)").replace("FROM entries", "FROM e2")
        + """ SELECT event_id, entrant, rank, round(coalesce(w1, w), 9) AS p_win, round(coalesce(p1, p), 9) AS p_podium, round(coalesce(f1, f), 9) AS p_points FROM (SELECT * FROM e2 WHERE split = 'validation') LEFT JOIN rt USING (rank), pr""")
 def rank_rate(t):
-    e = t.entries().drop(*TARGETS)
+    e = t.saved().drop(*TARGETS)
     d = baselines.rank_rate(e.filter(F.col("split") == "train"), e.filter(F.col("split") == "validation"), "event_id", "entrant", "qty", TARGETS)
     return rounded(d.select(*KEY, "rank", *TARGETS), list(TARGETS), 9)
 
@@ -350,7 +350,7 @@ def identity_calibration(t):
 @query("platt_apply", ", l AS (SELECT p_points AS p, points_finish AS y FROM entries WHERE split = 'train')" + platt_sql([], "l", "1e-3") +
        """ SELECT event_id, entrant, round(1 / (1 + exp(-(a * ln(p_points / (1 - p_points)) + b))), 6) AS p FROM entries, it WHERE i = 30""")
 def platt_apply(t):
-    e = t.entries()
+    e = t.saved(*KEY, "split", "p_points", "points_finish")
     fits = calibrate.fit_platt(e.filter(F.col("split") == "train"), "p_points", "points_finish")
     return calibrate.apply_platt(e.select(*KEY, "p_points"), "p_points", fits, out="p").select(*KEY, F.round("p", 6).alias("p"))
 
@@ -363,7 +363,7 @@ ISO_SQL = """, c AS (SELECT p_points AS x, CAST(sum(podium) AS DOUBLE) AS s, CAS
 @query("isotonic_apply", ISO_SQL + """ SELECT event_id, entrant, round(coalesce(st.v, (SELECT min(v) FROM st)), 8) AS p FROM entries ASOF LEFT JOIN st ON entries.p_points >= st.x""")
 def isotonic_apply(t):
     """Step lookup of the isotonic fit on training rows."""
-    e = t.entries()
+    e = t.saved(*KEY, "split", "p_points", "podium")
     levels = calibrate.fit_isotonic(e.filter(F.col("split") == "train"), "p_points", "podium")
     return calibrate.apply_isotonic(e.select(*KEY, "p_points"), "p_points", levels, "p").select(*KEY, F.round("p", 8).alias("p"))
 
@@ -376,7 +376,7 @@ CAL = ", l AS (SELECT p_points AS p, podium AS y FROM entries WHERE split = 'tra
   s AS (SELECT 'none' AS calibrator, round(avg({LOSS.replace('p,', 'a0,')}), 6) AS selection_log_loss FROM q UNION ALL SELECT 'platt', round(avg({LOSS.replace('p,', 'b0,')}), 6) FROM q UNION ALL SELECT 'isotonic', round(avg({LOSS.replace('p,', 'c0,')}), 6) FROM q)
   SELECT calibrator, selection_log_loss, CAST(row_number() OVER (ORDER BY selection_log_loss, calibrator) = 1 AS INTEGER) AS chosen FROM s""")
 def calibrator_choice(t):
-    e = t.entries()
+    e = t.saved("split", "p_points", "podium")
     name, _, losses = calibrate.select_calibrator(e.filter(F.col("split") == "train"), e.filter(F.col("split") == "validation"), "p_points", "podium")
     rows = [(n, round(v, 6), int(n == name)) for n, v in losses]
     return t.spark.createDataFrame(rows, "calibrator string, selection_log_loss double, chosen int")

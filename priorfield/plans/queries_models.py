@@ -93,7 +93,7 @@ SOLVE = "(c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS w1, (c2 * s11 - c1 *
 
 
 def normalised(t):
-    d = w.normalised_order(t.entries(), "event_id", "finish_order", "y", t.hot_event)
+    d = w.normalised_order(t.saved(*KEY, "split", "finish_order", "cents", "qty"), "event_id", "finish_order", "y", t.hot_event)
     return d.withColumn("x1", F.col("cents") / 1e7).withColumn("x2", F.col("qty") / 64.0)
 
 
@@ -115,13 +115,13 @@ def pairwise_ranker(t):
 
 
 def _scored(t, fit, y="podium", **params):
-    d = models.assemble(features(t.entries()), FEATURES)
+    d = models.assemble(features(t.saved()), FEATURES)
     return models.probability(fit(d.filter(F.col("split") == "train"), y, **params), d.filter(F.col("split") == "validation")).select(*KEY, "p")
 
 
 @query("weighted_logistic")
 def weighted_logistic(t):
-    d = models.assemble(features(t.entries()), FEATURES)
+    d = models.assemble(features(t.saved()), FEATURES)
     m = models.fit_logistic(models.class_weights(d.filter(F.col("split") == "train"), "win"), "win", weight="weight", c=1.0)
     return models.probability(m, d.filter(F.col("split") == "validation")).select(*KEY, "p")
 
@@ -160,7 +160,7 @@ def grid():
 
 @query("temporal_cv")
 def temporal_cv(t):
-    return models.temporal_cv(features(train(t)), ["podium"], grid()[:4], [("f1997", 1996, 1997), ("f1998", 1997, 1998)], "season")
+    return models.temporal_cv(features(t.saved().filter(F.col("split") == "train")), ["podium"], grid()[:4], [("f1997", 1996, 1997), ("f1998", 1997, 1998)], "season")
 
 
 CV_SQL = f""", cv AS (SELECT target, slot % 3 AS family, 's' || slot AS candidate, season AS fold, avg({LOSS}) AS log_loss, avg((p - y) * (p - y)) AS brier FROM l JOIN entries USING (event_id, entrant, season) WHERE season <= 1998 GROUP BY ALL),
@@ -191,7 +191,7 @@ def audit_selection(t):
 
 @query("select_family")
 def select_family(t):
-    d = features(t.entries())
+    d = features(t.saved())
     v = d.filter(F.col("split") == "validation")
     blocks = w.assign_blocks(v.select("event_id", "event_date").distinct(), EVENT_ORDER, {"calibration": 800, "selection": 700}, "report").select("event_id", "block")
     v = v.join(blocks, "event_id")
