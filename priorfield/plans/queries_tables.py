@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
@@ -46,8 +48,9 @@ def feature_round_trip(t):
 
 @query("bounded_read", """SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE year(o_orderdate) <= 1997) GROUP BY 1""", base="")
 def bounded_read(t):
-    o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("season"))
-    got = io.read_bounded(o, {"lineitem": t.read("lineitem").select("l_orderkey")}, "l_orderkey", "season", 1997)
+    o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    end = datetime.datetime(1997, 12, 31, 23, 59, 59)
+    got = io.read_bounded(o, {"lineitem": t.read("lineitem").select("l_orderkey")}, "l_orderkey", "o_orderdate", end)
     return got["lineitem"].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -155,7 +158,7 @@ def forecast_documents(t):
 
 @query("project_rename", "SELECT o_orderkey AS race_id, o_custkey AS venue_key, o_orderpriority AS format FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998", base="")
 def project_rename(t):
-    d = t.read("orders").filter(F.year("o_orderdate").between(1996, 1998))
+    d = t.read("orders").filter((F.col("o_orderdate") >= F.lit(datetime.datetime(1996, 1, 1))) & (F.col("o_orderdate") < F.lit(datetime.datetime(1999, 1, 1))))
     return d.select(F.col("o_orderkey").alias("race_id"), F.col("o_custkey").alias("venue_key"), F.col("o_orderpriority").alias("format"))
 
 

@@ -28,9 +28,10 @@ def read_records(spark: SparkSession, path: str, schema, required, keys, field:
     return d
 
 
-def read_bounded(events: DataFrame, children: dict[str, DataFrame], event: str, season: str, max_season: int) -> dict[str, DataFrame]:
-    """Events up to a season (pushed to the scan), then only child rows of kept events."""
-    kept = events.filter(F.col(season) <= max_season)
+def read_bounded(events: DataFrame, children: dict[str, DataFrame], event: str, season: str, last) -> dict[str, DataFrame]:
+    """Events up to a season, or a date, then only child rows of kept events. On a stored column
+    the bound is pushed to the scan."""
+    kept = events.filter(F.col(season) <= F.lit(last))
     out = {"events": kept}
     for name, child in children.items():
         out[name] = child.join(kept.select(event), event, "left_semi")
