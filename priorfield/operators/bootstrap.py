@@ -22,7 +22,8 @@ def _resample(events: DataFrame, order, values, reps: int, seed: int, hot: HotGr
     events = materialize(events)  # read by the sequence, the count and the join
     at = event_seq(events.select(*order, *[v for v in values if v not in order]), order, "_at", hot)
     n = events.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    grid = at.select("_at", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    slots = at.select("_at").repartition(at.sparkSession.sparkContext.defaultParallelism, "_at")  # rows are small, draws are not
+    grid = slots.select("_at", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     drawn = grid.select("rep", draw(seed, "rep", "_at", "_n").alias("_at"))
     return drawn.join(at, "_at").select("rep", *values)
 
