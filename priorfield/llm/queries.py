@@ -36,3 +36,28 @@ def op4(spark, sf_dir):
 
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_url_rules", r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM p),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+r(rule_host, rule_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+             ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+             row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
+      FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1""")
+def op10(spark, sf_dir):
+    from .urlrules import judge_urls, rule_frame
+
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_frame(spark)).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_license_scan")
+def op6(spark, sf_dir):
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
