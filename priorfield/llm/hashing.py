@@ -34,16 +34,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of an UTF-8 text, see _hash_words."""
+    return _hash_words(text)[0]
+
+
+def _hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word (run of bytes that are not white space) of an UTF-8 text, A-Z lower-cased.
 
     A word's hash is a polynomial of its bytes modulo 2**64, mixed with its length. It is taken
-    from running sums, so the cost per byte is a few numpy operations. Texts without words give
-    an empty array."""
+    from running sums, so the cost per byte is a few numpy operations. Returns the hashes and where
+    the words begin; both are empty for a text without words."""
     raw = np.frombuffer(text.lower(), dtype=np.uint8)
     word = ~WHITE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
     if not len(edge):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     start, end = edge[::2], edge[1::2]
     up, down = _POWERS
     terms = raw.astype(np.uint64) + np.uint64(1)
@@ -58,14 +63,23 @@ def word_hashes(text: bytes) -> np.ndarray:
     out = (total[edge_at] - total[start]) * down[start % _STEP]
     for i in np.flatnonzero(end > edge_at):  # at most one word for each 65,536 bytes
         out[i] = np.sum((raw[start[i]:end[i]].astype(np.uint64) + np.uint64(1)) * _powers(int(end[i] - start[i]))[0], dtype=np.uint64)
-    return mix(out ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(out ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """The distinct hashes, ascending, of all runs of `size` words; of the whole sequence if it is shorter; none without words."""
-    if not len(words):
-        return words
-    return np.unique(runs(words, min(size, len(words))))
+def word_groups(texts: list[bytes], group: int = 60_000):
+    """Hash the words of many texts, some at a time: yields (first text, starts, words), where the
+    words of text ``first + i`` are ``words[starts[i]:starts[i + 1]]``. Texts are never cut; a
+    group has one text or at most ``group`` bytes, which makes short texts cheap."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) < group:
+            size += len(texts[end]) + 1
+            end += 1
+        lengths = np.fromiter((len(t) + 1 for t in texts[at:end]), dtype=np.int64, count=end - at)
+        hashes, begins = _hash_words(b"\n".join(texts[at:end]))
+        yield at, np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)])), hashes
+        at = end
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:
@@ -73,5 +87,17 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     out = np.full(n, size, dtype=np.uint64)
     for i in range(size):
-        out = mix(out * np.uint64(_BASE) + words[i:i + n])
-    return out
+        out = out * np.uint64(_BASE) + words[i:i + n]
+    return mix(out)
+
+
+def shingle_sets(texts: list[bytes], size: int):
+    """Of each text in turn: the distinct hashes, ascending, of all its runs of `size` words; of the
+    whole sequence of words if it is shorter; an empty array for a text without words."""
+    for _, starts, words in word_groups(texts):
+        every = runs(words, size)
+        for a, b in zip(starts[:-1], starts[1:]):
+            if b - a >= size:
+                yield np.unique(every[a:b - size + 1])
+            else:
+                yield runs(words[a:b], int(b - a)) if b > a else words[:0]

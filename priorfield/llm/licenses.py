@@ -15,6 +15,7 @@ Templates are a parameter of the job, not data: their number is checked, and the
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,6 +40,8 @@ TEMPLATES = [
 ]
 THRESHOLD = 0.9
 MAX_TEMPLATES = 10_000
+#: Blocks in a segment of a text.
+BLOCKS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,7 +51,7 @@ def word_line(text: Column) -> Column:
 
 
 def _words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() and (not c.isupper() or c not in UPPER) or ord(c) > 127 else " " for c in text.translate(str.maketrans(UPPER, LOWER))).split()
+    return [w for w in re.split(NO_WORD, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
 def phrase_places(line: Column, phrase: str) -> Column:
@@ -83,40 +86,53 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     half = max([len(_words(text)) for _, text in templates] + [1])
     vocabulary = sorted({w for *_, s in sets for w in s})
 
-    # rows carry a number from their place; what a text holds of the vocabulary is written once
+    # Rows carry a number from their place. A text is cut into segments of BLOCKS blocks, so a very
+    # long one becomes many rows; what a segment holds of the vocabulary is written once, with the
+    # facts of the whole text beside its first segment.
     line = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), word_line(F.col(text_col)).alias("line"))
-    places = F.array_sort(F.concat(*[phrase_places(F.col("line"), p) for p, _ in phrases])) if phrases else F.array().cast("array<int>")
-    hit = [F.when(F.contains("line", F.lit(f" {' '.join(_words(p))} ")), F.lit(name)) for p, name in phrases]
-    words = F.when(F.length("line") > 2, F.split(F.expr("substring(line, 2, length(line) - 2)"), " ")).otherwise(F.array().cast("array<string>"))
-    seen = line.select("id", "row", places.alias("places"), F.array_compact(F.array(*hit)).alias("base") if hit else F.array().cast("array<string>").alias("base"),
-                       words.alias("words"))
-    known = F.filter(F.transform("words", lambda w, i: F.struct(F.when(w.isin(vocabulary), w).alias("w"), i.alias("i"))), lambda s: s["w"].isNotNull())
-    seen = materialize(seen.select("id", "row", F.size("words").alias("n_words"), "places", F.array_sort(F.array_distinct("base")).alias("base"), known.alias("known")))
+    none = F.array().cast("array<string>")
+    places = F.array_sort(F.concat(F.array().cast("array<int>"), *[phrase_places(F.col("line"), p) for p, _ in phrases]))
+    base = F.array_sort(F.array_distinct(F.array_compact(F.concat(none, *[F.array(
+        F.when(F.contains("line", F.lit(f" {' '.join(_words(p))} ")), F.lit(name))) for p, name in phrases]))))
+    words = F.when(F.length("line") > 2, F.split(F.expr("substring(line, 2, length(line) - 2)"), " ")).otherwise(none)
+    long = BLOCKS * half
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size("words") / long).cast("int")) - 1),
+                      lambda k: F.slice("words", k * long + 1, F.lit(long + half)))
+    seen = line.select("id", "row", places.alias("places"), base.alias("base"), words.alias("words")).select(
+        "row", "id", "places", "base", F.size("words").alias("n_words"), F.posexplode(cut).alias("segment", "own"))
+    spots = F.when(F.size("own") > 0, F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: F.get("own", i).isin(vocabulary)))
+    known = F.transform(spots, lambda i: F.struct(F.get("own", i).alias("w"), i.alias("i")))
+    first = F.col("segment") == 0
+    seen = materialize(seen.select("row", "segment", *[F.when(first, F.col(c)).alias(c) for c in ("id", "places", "base", "n_words")], known.alias("known")))
 
     # the global order: how often each template token occurs; at most one row per token of the templates
-    counts = {r["w"]: r["n"] for r in seen.select(F.explode("known.w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prefix, whole = [], []
+    in_text = F.filter("known", lambda k: k["i"] < long).getField("w")  # not the words shared with the next segment
+    counts = {r["w"]: r["n"] for r in seen.select(F.explode(in_text).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prefix_rows, whole = [], []
     for i, label, tokens in sets:
         tokens = sorted(tokens, key=lambda w: (counts.get(w, 0), w))
         need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
         whole.append((i, label, tokens, len(tokens), need))
-        prefix += [(w, i, at) for at, w in enumerate(tokens[:len(tokens) - need + 1])]
-    prefix = spark.createDataFrame(prefix, "token string, template int, place int")
+        prefix_rows += [(w, i, at) for at, w in enumerate(tokens[:len(tokens) - need + 1])]
+    prefix = spark.createDataFrame(prefix_rows, "token string, template int, place int")
     whole = spark.createDataFrame(whole, "template int, label string, tokens array<string>, n int, need int")
     index = prefix.join(F.broadcast(whole), "template")
 
-    # a word at place p lies in the blocks p // half and p // half - 1
-    both = F.explode(F.array(F.floor(F.col("k.i") / half), F.floor(F.col("k.i") / half) - 1)).alias("block")
-    tokens = seen.select("row", F.explode("known").alias("k")).select("row", F.col("k.w").alias("w"), both)
-    blocks = tokens.groupBy("row", "block").agg(F.collect_set("w").alias("held"))  # at most 2 * half tokens
-    tries = blocks.select("row", "block", "held", F.explode("held").alias("token")).join(F.broadcast(index), "token")
+    # blocks that hold a prefix token; a word at place i lies in the blocks i // half and i // half - 1
+    first_tokens = sorted({r[0] for r in prefix_rows})
+    near = F.array_distinct(F.flatten(F.transform(F.filter("known", lambda k: k["w"].isin(first_tokens)), lambda k: F.array(
+        F.floor(k["i"] / half), F.floor(k["i"] / half) - 1))))
+    blocks = seen.select("row", "segment", "known", F.explode(F.filter(near, lambda b: (b >= 0) & (b < BLOCKS))).alias("block"))
+    held = F.array_distinct(F.transform(F.filter("known", lambda k: F.floor(k["i"] / half).isin(F.col("block"), F.col("block") + 1)), lambda k: k["w"]))
+    blocks = blocks.select("row", held.alias("held"))
+    tries = blocks.select("row", "held", F.explode("held").alias("token")).join(F.broadcast(index), "token")
     left_over = F.col("n") - F.col("place")  # tokens of the template from this place on: earlier ones are tried at their own place
     tries = tries.filter((F.size("held") >= F.col("need")) & (left_over >= F.col("need")))
     share = F.size(F.array_intersect("held", "tokens"))
     met = tries.withColumn("share", share).filter(F.col("share") >= F.col("need"))
     met = met.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("share") / F.col("n")).alias("best"))
 
-    got = seen.select("id", "row", "n_words", "places", "base").join(met, "row", "left")
+    got = seen.filter("segment = 0").select("id", "row", "n_words", "places", "base").join(met, "row", "left")
     all_labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     some = F.size("places") > 0
     return got.select(

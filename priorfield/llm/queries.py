@@ -61,3 +61,15 @@ def op6(spark, sf_dir):
     from .licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .idfiles import new_folder, read_ids, write_ids
+
+    path = new_folder(spark)
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
