@@ -99,3 +99,15 @@ def op1(spark, sf_dir):
     from .jaccard import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query("op3_kneser_ney")
+def op3(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .kneser_ney import fit, in_training, score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(in_training(F.col("doc_id"))))
+    return score_texts(docs, model).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                           "base_score", "score", "perplexity")
