@@ -6,6 +6,8 @@ import numpy as np
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII characters but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
@@ -38,14 +40,14 @@ def word_hashes(text: bytes) -> np.ndarray:
     return _hash_words(text)[0]
 
 
-def _hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(text: bytes, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word (run of bytes that are not white space) of an UTF-8 text, A-Z lower-cased.
 
     A word's hash is a polynomial of its bytes modulo 2**64, mixed with its length. It is taken
     from running sums, so the cost per byte is a few numpy operations. Returns the hashes and where
     the words begin; both are empty for a text without words."""
     raw = np.frombuffer(text.lower(), dtype=np.uint8)
-    word = ~WHITE[raw]
+    word = ~between[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
     if not len(edge):
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
@@ -66,10 +68,11 @@ def _hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(out ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
-def word_groups(texts: list[bytes], group: int = 60_000):
+def word_groups(texts: list[bytes], group: int = 60_000, between: np.ndarray = WHITE):
     """Hash the words of many texts, some at a time: yields (first text, starts, words), where the
     words of text ``first + i`` are ``words[starts[i]:starts[i + 1]]``. Texts are never cut; a
-    group has one text or at most ``group`` bytes, which makes short texts cheap."""
+    group has one text or at most ``group`` bytes, which makes short texts cheap. ``between`` marks
+    the bytes that are not part of words."""
     at = 0
     while at < len(texts):
         end, size = at + 1, len(texts[at])
@@ -77,7 +80,7 @@ def word_groups(texts: list[bytes], group: int = 60_000):
             size += len(texts[end]) + 1
             end += 1
         lengths = np.fromiter((len(t) + 1 for t in texts[at:end]), dtype=np.int64, count=end - at)
-        hashes, begins = _hash_words(b"\n".join(texts[at:end]))
+        hashes, begins = _hash_words(b"\n".join(texts[at:end]), between)
         yield at, np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)])), hashes
         at = end
 

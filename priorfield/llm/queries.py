@@ -111,3 +111,14 @@ def op3(spark, sf_dir):
     model = fit(docs.filter(in_training(F.col("doc_id"))))
     return score_texts(docs, model).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                                            "base_score", "score", "perplexity")
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit_toxicity, in_training, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted", "rejected")

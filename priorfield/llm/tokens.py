@@ -19,12 +19,15 @@ _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which contr
 _OTHER = "0-9'\u0080-¿×÷Ā-\U0010ffff"
 #: A piece: white space, then letters only or marks only if nothing else touches them, else all up to the next white space.
 PIECE = re.compile(rf"[{_WHITE}]*(?:[{_LETTER}]++(?![{_OTHER}])|[{_MARK}]++(?![{_OTHER}])|[^{_WHITE}]+)|[{_WHITE}]+")
-#: White space beyond ASCII, which may belong to one run with ASCII white space: such texts are encoded whole.
-RARE_WHITE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: White space beyond ASCII's usual six, which may belong to one run with these: such texts are encoded whole.
+_RARE_ASCII = tuple(map(chr, range(0x1C, 0x20)))
+_RARE = tuple(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Where single spaces are not the only white space beside a space.
+_NOT_SINGLE = ("  ", *(a + " " for a in "\t\n\r\x0b\x0c"), *(" " + a for a in "\t\n\r\x0b\x0c"))
 
 
-#: Where single spaces are not the only white space beside a space.
-_NOT_SINGLE = re.compile(rf" [{_WHITE}]|[{_WHITE}] |^ | $")
+def _any(parts, text: str) -> bool:
+    return any(p in text for p in parts)  # a plain search for each is faster than one pattern
 
 
 class _Cache(dict):
@@ -67,7 +70,7 @@ class Encoder:
     """Encode texts one after the other. Words between single spaces and their pieces are cached;
     a cache is emptied once it holds more keys than its limit."""
 
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 700_000):
+    def __init__(self, path: str, words: int = 700_000, pieces: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
@@ -87,11 +90,11 @@ class Encoder:
         """The ids of a text as unsigned 32-bit integers; null counts as empty."""
         if not text:
             return np.empty(0, dtype=np.uint32)
-        if RARE_WHITE.search(text):
+        if _any(_RARE_ASCII, text) or not text.isascii() and _any(_RARE, text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.pieces) > self.limits[1]:
             self.pieces = _Cache()
-        if _NOT_SINGLE.search(text):
+        if text[0] == " " or text[-1] == " " or _any(_NOT_SINGLE, text):
             return self.pieces.gather(self._pieces(PIECE.findall(text)))
         if len(self.words) > self.limits[0]:
             self.words = _Cache()
