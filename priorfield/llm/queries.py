@@ -122,3 +122,11 @@ def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted", "rejected")
+
+
+@query("op8_raked_mixture")
+def op8(spark, sf_dir):
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
