@@ -130,3 +130,16 @@ def op8(spark, sf_dir):
 
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select(
         "doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+@query("op9_exact_top_k", r"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.ints, c.ints), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op9(spark, sf_dir):
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
