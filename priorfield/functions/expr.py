@@ -8,8 +8,8 @@ from pyspark.sql import Column, functions as F
 DAYS_PER_YEAR = 365.2425
 MISSING_TOKEN = "__MISSING__"
 UNKNOWN_TOKEN = "__UNKNOWN__"
-IDENTIFIER = "^[a-z0-9][a-z0-9_-]*$"
-HEX_DIGEST = "^[0-9a-f]{64}$"
+IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,99}\z"
+HEX_DIGEST = r"^[0-9a-f]{64}\z"
 ZONED_TIMESTAMP = "(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
@@ -129,12 +129,12 @@ def url_host(c) -> Column:
 
 
 def url_allowed(c, hosts) -> Column:
-    """https, a listed host, no user part, no explicit port."""
+    """https, a listed host, no user part, no port but 443."""
     u = col(c)
     authority = F.try_parse_url(u, F.lit("AUTHORITY"))
     return F.coalesce(
         (F.try_parse_url(u, F.lit("PROTOCOL")) == "https") & url_host(u).isin(*hosts)
-        & F.try_parse_url(u, F.lit("USERINFO")).isNull() & ~authority.rlike(":[0-9]+$"),
+        & F.try_parse_url(u, F.lit("USERINFO")).isNull() & (~authority.rlike(":[0-9]*$") | authority.endswith(":443")),
         F.lit(False))
 
 

@@ -1,31 +1,43 @@
-"""Bootstrap over events. Draws come from a hash, so any engine and any retry repeats them."""
+"""Bootstrap over events. Draws come from a hash, so any engine and any retry repeats them.
+
+Every repetition gives every event a weight from the Poisson distribution with mean one, which is
+how often resampling draws an event. The weight is a hash of (seed, repetition, event), so it is
+made where the event lies: sums per repetition are combined before the shuffle, and only rows of
+repetitions and metrics travel.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
-from .hot import HotGroups
-from .windows import event_seq
+BITS = 60  # of a draw: 15 hexadecimal digits
+
+
+def limits() -> list[int]:
+    """Draws from these limits on mean one more: the distribution function at 0, 1, 2, ... in units of 2**-BITS."""
+    total, out = 0.0, []
+    for k in range(16):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(min(int(total * 2**BITS), 2**BITS))
+    return out
 
 
-def draw(seed: int, rep, slot, n) -> Column:
-    """Index in [0, n) for one slot of one repetition."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.col(rep).cast("string"), F.col(slot).cast("string"))
-    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    return F.pmod(number, F.col(n))
+def draw(text: Column, odd: Column) -> Column:
+    """The weight from one half of the digest of a text; the other half serves the next repetition."""
+    number = F.conv(F.substring(F.md5(text), F.when(odd, F.lit(16)).otherwise(F.lit(1)), F.lit(15)), 16, 10).cast("long")
+    weight = F.lit(0)
+    for x in limits():
+        weight = weight + (number >= x).cast("int")
+    return weight
 
 
-def _resample(events: DataFrame, order, values, reps: int, seed: int, hot: HotGroups | None):
-    """(rep, values) of every drawn event. The join key is the event, which every repetition
-    draws about once, so the draws spread evenly."""
-    events = materialize(events)  # read by the sequence, the count and the join
-    at = event_seq(events.select(*order, *[v for v in values if v not in order]), order, "_at", hot)
-    n = events.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    slots = at.select("_at").repartition(at.sparkSession.sparkContext.defaultParallelism, "_at")  # rows are small, draws are not
-    grid = slots.select("_at", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    drawn = grid.select("rep", draw(seed, "rep", "_at", "_n").alias("_at"))
-    return drawn.join(at, "_at").select("rep", *values)
+def _resample(events: DataFrame, key: str, values, reps: int, seed: int) -> DataFrame:
+    """(rep, weight, values) of every event in every repetition; never shuffled as it is."""
+    pair = F.concat_ws(":", F.lit(str(seed)), F.col("rep").bitwiseAND(F.lit(-2)).cast("string"), F.col(key).cast("string"))
+    grid = events.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    return grid.select("rep", draw(pair, F.col("rep") % 2 == 1).alias("_w"), *values)
 
 
 def _interval(samples: DataFrame, points: DataFrame, metrics) -> DataFrame:
@@ -39,22 +51,21 @@ def _interval(samples: DataFrame, points: DataFrame, metrics) -> DataFrame:
     return long(points, "estimate").join(ends, "metric")
 
 
-def bootstrap_mean(events: DataFrame, order, metrics, reps: int, seed: int, hot: HotGroups | None = None) -> DataFrame:
-    """Interval of the mean of per-event values."""
+def bootstrap_mean(events: DataFrame, key: str, metrics, reps: int, seed: int) -> DataFrame:
+    """Interval of the mean of per-event values; null values are left out. ``key`` names the event."""
     metrics = list(metrics)
-    d = _resample(events, list(order), metrics, reps, seed, hot)
-    means = [F.avg(m).alias(m) for m in metrics]
+    d = _resample(events, key, metrics, reps, seed)
+    means = [F.try_divide(F.sum(F.col("_w") * F.col(m)), F.sum(F.when(F.col(m).isNotNull(), F.col("_w")))).alias(m) for m in metrics]
     point = events.agg(*[F.avg(m).alias(m) for m in metrics])
     return _interval(d.groupBy("rep").agg(*means), point, metrics)
 
 
-def bootstrap_pooled(events: DataFrame, order, sums: dict[str, str], rows: str, reps: int, seed: int,
-                     hot: HotGroups | None = None) -> DataFrame:
+def bootstrap_pooled(events: DataFrame, key: str, sums: dict[str, str], rows: str, reps: int, seed: int) -> DataFrame:
     """Interval of a row mean when whole events are drawn: sums over rows are pooled, then divided.
 
     ``sums`` maps metric name to the per-event sum column; ``rows`` is the per-event row count.
     """
-    d = _resample(events, list(order), [*sums.values(), rows], reps, seed, hot)
-    ratios = [(F.sum(c) / F.sum(rows)).alias(m) for m, c in sums.items()]
+    d = _resample(events, key, [*sums.values(), rows], reps, seed)
+    ratios = [F.try_divide(F.sum(F.col("_w") * F.col(c)), F.sum(F.col("_w") * F.col(rows))).alias(m) for m, c in sums.items()]
     point = events.agg(*[(F.sum(c) / F.sum(rows)).alias(m) for m, c in sums.items()])
     return _interval(d.groupBy("rep").agg(*ratios), point, list(sums))

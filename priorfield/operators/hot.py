@@ -1,8 +1,9 @@
 """Hot groups: find the few keys too large for one task, and split them in order.
 
 A window or a grouped list puts all rows of a key into one task. Keys with more rows than
-``max_rows`` are found by one counting pass. Their number is bounded (``MAX_HOT``), so the
-list is small enough to ship to every task, and whatever is aggregated per hot key is too.
+``max_rows`` and more than 1/MAX_HOT of all rows are found by one counting pass. So at most
+MAX_HOT keys are hot, none is left out, and every other key holds at most 1/MAX_HOT of the data;
+the list is small enough to ship to every task, and whatever is aggregated per hot key is too.
 All other keys keep the plain window plan.
 
 Rows of a hot key are cut into chunks that follow the window order. The chunk limits come from
@@ -55,8 +56,8 @@ def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner", small
 def find_hot(df: DataFrame, keys, max_rows: int | None = None, weight: str | None = None) -> HotGroups:
     """Count rows per key (map-side combined) and keep the keys above the limit.
 
-    At most MAX_HOT keys are kept, the largest ones; chunks grow with the table so that their
-    number is bounded too. ``weight`` sums a count column of a table counted before. Keys may be
+    The limit is at least 1/MAX_HOT of all rows, so at most MAX_HOT keys can be above it; chunks
+    grow with the table so that their number is bounded too. ``weight`` sums a count column of a table counted before. Keys may be
     counted on a narrower table than the one to be split: an upper bound is enough.
     """
     spark, keys = df.sparkSession, tuple(keys)
@@ -64,10 +65,11 @@ def find_hot(df: DataFrame, keys, max_rows: int | None = None, weight: str | Non
         max_rows = int(spark.conf.get(MAX_ROWS_KEY, str(MAX_ROWS_DEFAULT)))
     size = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*keys).agg(size.cast("long").alias("_hot_rows"))
-    above = counts.filter(F.col("_hot_rows") > max_rows)
-    found = above.orderBy(F.desc("_hot_rows")).limit(MAX_HOT).collect()
-    if not found:
+    total, largest = counts.agg(F.sum("_hot_rows"), F.max("_hot_rows")).first()
+    max_rows = max(max_rows, (total or 0) // MAX_HOT)
+    if (largest or 0) <= max_rows:
         return HotGroups(keys, None, max_rows)
+    found = counts.filter(F.col("_hot_rows") > max_rows).collect()  # at most MAX_HOT rows
     chunk_rows = max(max_rows, sum(r["_hot_rows"] for r in found) // MAX_HOT)
     return HotGroups(keys, spark.createDataFrame(found, counts.schema), chunk_rows)
 

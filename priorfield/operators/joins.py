@@ -123,5 +123,15 @@ def table_diff(a: DataFrame, b: DataFrame, keys, cols, rtol: float = 0.0, atol:
     return d.select(*keys, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("_d")).select(*keys, "_d.*")
 
 
+def diff_counts(a: DataFrame, b: DataFrame, keys, cols, planted, rtol: float = 0.0, atol: float = 0.0) -> DataFrame:
+    """One row: rows compared, cells that differ, and cells that differ after the first column of the
+    ``planted`` rows of ``b`` was changed. The last number shows that the comparison finds changes."""
+    wrong = b.withColumn(cols[0], F.when(planted, F.coalesce(F.col(cols[0]), F.lit(0)) + 1).otherwise(F.col(cols[0])))
+    n = F.count(F.lit(1))
+    rows = a.select(*keys).join(b.select(*keys), list(keys)).agg(n.alias("compared"))
+    found = table_diff(a, b, keys, cols, rtol, atol).agg(n.alias("differ"))
+    return rows.select("compared", found.scalar().alias("differ"), table_diff(a, wrong, keys, cols, rtol, atol).agg(n.alias("n")).scalar().alias("planted"))
+
+
 def field_maximum(df: DataFrame, by, col: str, out: str) -> DataFrame:
     return attach_group(df, by, None, **{out: F.max(col)})

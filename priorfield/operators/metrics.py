@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialize
 from .hot import HotGroups, find_hot, join_same
@@ -107,8 +107,12 @@ def kendall(df: DataFrame, event: str, actual: str, score: str, hot: HotGroups |
     leading digits, how many rows with 0 and with 1 come before each score counts every pair once.
     """
     hot = find_hot(df, [event]) if hot is None else hot
-    a = F.col(actual).cast("long")
-    d = df.select(event, a.alias("_a"), F.col(score).alias("_s"))
+    d = df.select(event, F.col(actual).alias("_a"), F.col(score).alias("_s")).filter("_a IS NOT NULL")
+    if not isinstance(df.schema[actual].dataType, (T.IntegerType, T.LongType)):  # 1.2 and 1.8 are no tie: take the place of each value
+        levels = d.select(event, "_a").distinct()
+        levels = prior_features(levels, [([event], [prior_count("_level")])], ["_a"], hot)
+        d = join_same(d, levels, [event, "_a"]).drop("_a").withColumnRenamed("_level", "_a")
+    d = d.withColumn("_a", F.col("_a").cast("long"))
     d = attach_group(d, [event], hot, _top=F.max("_a"))
     digits = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("_top"), F.lit(1)))).cast("int"))
     d = d.withColumn("_digit", F.explode(digits))

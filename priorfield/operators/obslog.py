@@ -10,27 +10,46 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expr import url_host
+from ..functions.expr import url_allowed
 from ..session import materialize
 from .hot import HotGroups, find_hot, join_same
-from .windows import attach_group, prior_features, previous
+from .windows import prior_features, previous
 
 # Fixed values.
 DAY_END_HOURS = 36   # end of a calendar day at UTC-12, counted from its UTC midnight
 DAY_START_HOURS = 14  # start of a calendar day at UTC+14, before its UTC midnight
 VERIFIED_BASIS = ("document", "provider_metadata")
+SALTS = 16  # copies of a look-up row where keys are hot
 
 
 def append_observations(log: DataFrame | None, new: DataFrame, source, hot: HotGroups | None = None) -> DataFrame:
     """Add observations; derive when the same content was first seen at the source and the
-    previous observation of the source."""
+    previous observation of the source.
+
+    Stored rows stay as they are. For the new rows only, the earliest stored time of their
+    (source, content) and the latest stored row of their source are looked up.
+    """
     d = new.withColumn("sha256", F.sha2("payload", 256))
-    if log is not None:
-        d = log.select(*d.columns).unionByName(d)
     hot = find_hot(d, source) if hot is None else hot
-    d = attach_group(d, [*source, "sha256"], hot, first_observed_at=F.min("retrieved_at"))
-    return prior_features(d, [(list(source), [previous("previous_observation", "observation_id")])],
-                          ["retrieved_at", "observation_id"], hot)
+    first = d.groupBy(*source, "sha256").agg(F.min("retrieved_at").alias("first_observed_at"))
+    if log is not None:
+        before = log.groupBy(*source, "sha256").agg(F.min("first_observed_at").alias("_stored"))
+        first = join_same(first, before, [*source, "sha256"], "left").withColumn(
+            "first_observed_at", F.least("first_observed_at", "_stored")).drop("_stored")
+    if hot:  # one content may be most of a source: its rows take a salt
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        d = d.withColumn("_salt", F.pmod(F.xxhash64("observation_id"), F.lit(SALTS)).cast("int"))
+        d = join_same(d, first.select("*", salts), [*source, "sha256", "_salt"]).drop("_salt")
+    else:
+        d = join_same(d, first, [*source, "sha256"])
+    d = prior_features(d, [(list(source), [previous("previous_observation", "observation_id")])],
+                       ["retrieved_at", "observation_id"], hot)
+    if log is None:
+        return d
+    last = log.groupBy(*source).agg(F.max_by("observation_id", F.struct("retrieved_at", "observation_id")).alias("_last"))
+    d = join_same(d, last, list(source), "left").withColumn(
+        "previous_observation", F.coalesce("previous_observation", "_last")).drop("_last")
+    return log.select(*d.columns).unionByName(d)
 
 
 def append_reviews(log: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -48,11 +67,14 @@ def append_reviews(log: DataFrame, reviews: DataFrame) -> DataFrame:
 def available_asof(log: DataFrame, cutoff, max_age_seconds, times=("published_at", "retrieved_at", "first_observed_at", "reviewed_at")) -> DataFrame:
     """Observations none of whose times is after the cutoff and that are fresh enough.
 
-    ``cutoff`` and ``max_age_seconds`` may be columns, so limits per source role work too.
+    ``cutoff`` and ``max_age_seconds`` may be columns, so limits per source role work too. Ages
+    count microseconds; a negative limit is an error.
     """
+    limit = max_age_seconds if isinstance(max_age_seconds, Column) else F.lit(max_age_seconds)
+    limit = F.when(limit < 0, F.raise_error(F.lit("negative age limit")).cast("double")).otherwise(limit.cast("double"))
     known = reduce(lambda a, b: a & b, [F.col(t).isNull() | (F.col(t) <= cutoff) for t in times])
-    age = F.unix_timestamp(cutoff) - F.unix_timestamp("retrieved_at")
-    return log.filter(known & (age <= max_age_seconds))
+    age = F.unix_micros(cutoff) - F.unix_micros(F.col("retrieved_at").cast("timestamp"))
+    return log.filter(known & (age <= limit * 1_000_000))
 
 
 def freshness(log: DataFrame, limits: dict[str, int], role: str, cutoff) -> DataFrame:
@@ -103,8 +125,9 @@ def scope_mismatch(log: DataFrame, events: DataFrame, event: str, fields) -> Dat
 
 
 def publication_bounds(log: DataFrame, day: str = "claimed_day", exact: str = "published_at") -> DataFrame:
-    """Earliest and latest possible publication. A day without a time zone spans UTC-12 to UTC+14."""
-    d, t = F.col(day).cast("timestamp"), F.col(exact)
+    """Earliest and latest possible publication. A day without a time zone spans UTC-12 to UTC+14,
+    counted from its UTC midnight whatever the zone of the session."""
+    d, t = F.timestamp_seconds(F.unix_date(day).cast("long") * 86_400), F.col(exact)
     late = d + F.make_dt_interval(hours=F.lit(DAY_END_HOURS))
     early = d - F.make_dt_interval(hours=F.lit(DAY_START_HOURS))
     return log.withColumn("latest", F.when(d.isNull(), t).otherwise(F.greatest(late, t))).withColumn(
@@ -132,17 +155,22 @@ def assess_timing(df: DataFrame, cutoff, retrieved: str = "retrieved_at", latest
         F.coalesce(F.col(latest) > F.col(retrieved), F.lit(False)).cast("int").alias("window_beyond_retrieval"))
 
 
-def official(log: DataFrame, providers, hosts, uri: str = "uri", provider: str = "provider") -> DataFrame:
-    """Records from an official provider, or from an approved host."""
-    return log.filter(F.col(provider).isin(*providers) | F.coalesce(url_host(uri).isin(*hosts), F.lit(False)))
+def official(log: DataFrame, hosts: dict[str, list[str]], approved=(), uri: str = "uri", provider: str = "provider") -> DataFrame:
+    """Records of an official provider at one of its own hosts, or at an approved host; the
+    address must be https, without a user part and without a port but 443."""
+    own = [(F.col(provider) == p) & url_allowed(uri, h) for p, h in hosts.items()]
+    return log.filter(reduce(lambda a, b: a | b, own, url_allowed(uri, approved) if approved else F.lit(False)))
 
 
 def inventory(log: DataFrame, by) -> DataFrame:
     """Per key: observations, first one, reviewed ones, and an order-free digest of the contents.
 
-    The digest is a 64-bit xor over content hashes, so no list of a whole key is built.
+    The digest is the sum, as text, over different contents of a 60-bit hash of the content and
+    the number of its observations; so no list of a whole key is built, and equal contents count.
     """
-    return log.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("observations"), F.min("retrieved_at").alias("first_observed_at"),
-        F.count("reviewed_by").alias("reviewed"),
-        F.bit_xor(F.conv(F.substring(F.col("sha256"), 1, 15), 16, 10).cast("long")).alias("digest"))
+    each = log.groupBy(*by, "sha256").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("retrieved_at").alias("_first"), F.count("reviewed_by").alias("_reviewed"))
+    own = F.conv(F.substring(F.sha2(F.concat_ws(":", "sha256", F.col("_n").cast("string")), 256), 1, 15), 16, 10)
+    return each.groupBy(*by).agg(
+        F.sum("_n").alias("observations"), F.min("_first").alias("first_observed_at"),
+        F.sum("_reviewed").alias("reviewed"), F.sum(own.cast("decimal(38,0)")).cast("string").alias("digest"))

@@ -57,12 +57,34 @@ def favourites(long: DataFrame, by, entrant: str, p: str, order: str) -> DataFra
     ).withColumn("agree", (F.col("favourite") == F.col("ranked_first")).cast("int"))
 
 
-def score_forecasts(long: DataFrame, outcomes: DataFrame, event: str, entrant: str, hot: HotGroups | None = None) -> DataFrame:
+def roster_gaps(long: DataFrame, outcomes: DataFrame, event: str, entrant: str) -> DataFrame:
+    """Where a forecast and the outcomes of its event name different entrants, or one name twice:
+    event, method, stage, forecast rows, outcome rows and rows found on both sides."""
+    sides = outcomes.groupBy(event, entrant).agg(F.count(F.lit(1)).alias("_o"))
+    both = join_same(long.select(event, "method", "stage", entrant), sides, [event, entrant], "left")
+    got = both.groupBy(event, "method", "stage").agg(
+        F.count(F.lit(1)).alias("forecast_rows"), F.count(F.when(F.col("_o") == 1, F.lit(1))).alias("common_rows"),
+        F.count_distinct(F.struct(entrant)).alias("_entrants"))
+    n = outcomes.groupBy(event).agg(F.count(F.lit(1)).alias("outcome_rows"))
+    got = join_same(got, n, [event], "left").fillna(0, ["outcome_rows"])
+    wrong = (F.col("forecast_rows") != F.col("common_rows")) | (F.col("outcome_rows") != F.col("common_rows")) | (F.col("_entrants") != F.col("forecast_rows"))
+    return got.filter(wrong).drop("_entrants")
+
+
+def score_forecasts(long: DataFrame, outcomes: DataFrame, event: str, entrant: str, hot: HotGroups | None = None,
+                    strict: bool = True) -> DataFrame:
     """One row per (event, method, stage): losses per target and the ranking measures.
 
+    Forecast and outcomes of an event must name the same entrants; ``strict`` stops otherwise,
+    else entrants on one side only are left out.
+
     ``long``: event, method, stage, entrant, predicted_order, p_win, p_podium, p_points.
     ``outcomes``: event, entrant, finish_order, position, points.
     """
+    if strict:
+        bad = roster_gaps(long, outcomes, event, entrant).limit(5).collect()
+        if bad:
+            raise ValueError(f"forecast and outcomes name different entrants, first cases: {bad}")
     hot = find_hot(outcomes, [event]) if hot is None else hot
     o = attach_group(outcomes, [event], hot, _n=F.count(F.lit(1)))
     o = o.select(event, entrant, "finish_order", "_n", F.coalesce(F.col("position") == 1, F.lit(False)).cast("int").alias("win"),

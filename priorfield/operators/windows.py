@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .hot import HotGroups, chunk_hot, find_hot, join_same, split_hot
 
@@ -63,6 +63,18 @@ def _plain(spec: Prior, w, own: int) -> Column:
     return e.alias(spec.out)
 
 
+def _sum_type(df: DataFrame, col: str) -> str:
+    """What a mean adds up in: doubles, or decimals of ten more digits."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.DecimalType):
+        return f"decimal({min(38, kind.precision + 10)},{kind.scale})"
+    return "double"
+
+
+def _mean_type(df: DataFrame, col: str):
+    return df.select(F.avg(col)).schema[0].dataType
+
+
 def _chunked(rows: DataFrame, keys, order, specs, own: int) -> DataFrame:
     """The same features when a key is cut into chunks: local windows plus what came before.
 
@@ -85,8 +97,7 @@ def _chunked(rows: DataFrame, keys, order, specs, own: int) -> DataFrame:
     for s in specs:
         if s.kind == "rolling":
             frame = w.rowsBetween(own - s.n, own - 1)
-            local += [F.sum(s.col).over(frame).alias(f"_rs_{s.out}")]
-            local += [F.count(s.col).over(frame).alias(f"_rc_{s.out}")]
+            local += [F.collect_list(F.struct(F.col(s.col).alias("v"))).over(frame).alias(f"_rv_{s.out}")]  # at most n rows
         if s.kind == "last":
             local += [F.lag(s.col).over(w).alias(f"_lag_{s.out}")]
     here = rows.select("*", *local)
@@ -126,7 +137,8 @@ def _chunked(rows: DataFrame, keys, order, specs, own: int) -> DataFrame:
         elif s.kind == "sum":
             e = total(s.col)
         elif s.kind == "mean":
-            e = F.try_divide(total(s.col).cast("double"), F.col(f"_pc_{s.col}") + F.col(f"_lc_{s.col}"))
+            n = F.col(f"_pc_{s.col}") + F.col(f"_lc_{s.col}")
+            e = F.try_divide(total(s.col).cast(_sum_type(rows, s.col)), n).cast(_mean_type(rows, s.col))
         elif s.kind == "latest":
             e = F.coalesce(F.col(f"_ll_{s.col}"), F.col(f"_pl_{s.col}"))
         elif s.kind == "last" and own:
@@ -138,12 +150,13 @@ def _chunked(rows: DataFrame, keys, order, specs, own: int) -> DataFrame:
             m = F.greatest(F.lit(s.n - own) - (F.col("_rn") - 1), F.lit(0))
             size = F.size("_past")
             tail = F.slice("_past", F.greatest(size - m + 1, F.lit(1)), F.least(m, size))
-            vals = F.filter(F.transform(tail, lambda r: r[f"v_{s.col}"].cast("double")),
-                            lambda v: v.isNotNull())
-            far = F.when((m > 0) & (size > 0), F.aggregate(vals, F.lit(0.0), lambda a, v: a + v)).otherwise(F.lit(0.0))
-            farn = F.when((m > 0) & (size > 0), F.size(vals)).otherwise(F.lit(0))
-            e = F.try_divide(F.coalesce(F.col(f"_rs_{s.out}"), F.lit(0)) + far,
-                             F.col(f"_rc_{s.out}") + farn)
+            # the carried rows and then the local ones, added in the order of the plain window
+            kind = _sum_type(rows, s.col)
+            far = F.when((m > 0) & (size > 0), F.transform(tail, lambda r: r[f"v_{s.col}"].cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
+            near = F.transform(f"_rv_{s.out}", lambda r: r["v"].cast(kind))
+            vals = F.filter(F.concat(far, near), lambda v: v.isNotNull())
+            added = F.aggregate(vals, F.lit(0).cast(kind), lambda a, v: (a + v).cast(kind))
+            e = F.try_divide(added, F.size(vals)).cast(_mean_type(rows, s.col))
         out.append(e.alias(s.out))
     return full.select(*base, *out)
 

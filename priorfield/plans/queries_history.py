@@ -355,8 +355,8 @@ def standings_after_event(t):
 
 
 @query("lagged_standings", STANDINGS_SQL + """, nx AS (SELECT event_id, lead(event_id) OVER (PARTITION BY season ORDER BY event_date, event_id) AS next_id FROM events_t)
-  SELECT e.event_id, e.entrant, coalesce(p.season_points, 0) AS points_before FROM entries e LEFT JOIN (
-    SELECT next_id AS event_id, entrant, season_points FROM st JOIN nx USING (event_id) WHERE next_id IS NOT NULL) p USING (event_id, entrant)""")
+, en AS MATERIALIZED (SELECT event_id, entrant FROM entries), p AS MATERIALIZED (SELECT next_id AS event_id, entrant, season_points FROM st JOIN nx ON nx.event_id = st.event_id WHERE next_id IS NOT NULL)
+  SELECT en.event_id, en.entrant, coalesce(p.season_points, 0) AS points_before FROM en LEFT JOIN p ON p.event_id = en.event_id AND p.entrant = en.entrant""")
 def lagged_standings(t):
     d = joins.lag_join(t.entries().select("event_id", "entrant"), standings(t), t.events(), "event_id", "season", EVENT_ORDER, ["entrant"], ["season_points"])
     return d.select("event_id", "entrant", F.coalesce("season_points", F.lit(0)).alias("points_before"))
@@ -375,8 +375,8 @@ def previous_season_standing(t):
 
 
 @query("prior_season_last_event", STANDINGS_SQL + """, le AS (SELECT season, arg_max(event_id, (event_date, event_id)) AS event_id FROM events_t WHERE event_id IN (SELECT event_id FROM entries) GROUP BY season)
-  SELECT e.event_id, e.entrant, s.season_points AS last_event_points FROM entries e LEFT JOIN (SELECT le.season + 1 AS season, entrant, season_points FROM st JOIN le USING (event_id)) s
-  ON s.season = e.season AND s.entrant = e.entrant""")
+, en AS MATERIALIZED (SELECT event_id, entrant, season FROM entries), s AS MATERIALIZED (SELECT le.season + 1 AS season, st.entrant, st.season_points FROM st JOIN le ON le.event_id = st.event_id)
+  SELECT en.event_id, en.entrant, s.season_points AS last_event_points FROM en LEFT JOIN s ON s.season = en.season AND s.entrant = en.entrant""")
 def prior_season_last_event(t):
     """Standing recorded at the last event of the season before."""
     e = t.entries()

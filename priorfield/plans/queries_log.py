@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import obslog, windows as w
+from ..session import materialize
 from .registry import query
 
 LOG_SQL = """WITH RECURSIVE log AS (SELECT event_id AS observation_id, user_id, event_type AS provider, 'https://' || event_type || '.example.org/' || user_id AS uri, sha256(props) AS sha256, ts AS retrieved_at,
@@ -24,16 +25,19 @@ def hours(n):
     return F.make_dt_interval(hours=n.cast("int"))
 
 
-def log(t):
+def new_rows(t):
     e = t.read("events")
     kept = F.col("event_id") % 4 != 0
-    new = e.select(
+    return e.select(
         F.col("event_id").alias("observation_id"), "user_id", F.col("event_type").alias("provider"),
         F.concat(F.lit("https://"), "event_type", F.lit(".example.org/"), F.col("user_id").cast("string")).alias("uri"),
         F.col("props").cast("binary").alias("payload"), F.col("ts").alias("retrieved_at"), (F.col("ts") - hours(F.col("event_id") % 50)).alias("published_at"),
         F.when(kept, F.col("ts") + hours(F.col("event_id") % 30)).alias("reviewed_at"), F.when(kept, F.lit("reviewer")).alias("reviewed_by"),
         F.when(F.col("event_id") % 5 == 0, F.to_date("ts")).alias("claimed_day"), F.when(F.col("event_id") % 7 != 0, F.lit("document")).alias("basis"))
-    return obslog.append_observations(None, new, ["user_id"])
+
+
+def log(t):
+    return obslog.append_observations(None, new_rows(t), ["user_id"])
 
 
 def secs(c):
@@ -56,7 +60,7 @@ def append_reviews(t):
 
 
 AVAILABLE = f"published_at <= {CUT_SQL} AND retrieved_at <= {CUT_SQL} AND first_observed_at <= {CUT_SQL} AND (reviewed_at IS NULL OR reviewed_at <= {CUT_SQL})"
-AGE = f"(epoch_us({CUT_SQL}) // 1000000 - epoch_us(retrieved_at) // 1000000)"
+AGE = f"(epoch_us({CUT_SQL}) - epoch_us(retrieved_at)) / 1e6"
 
 
 @query("available_asof", LOG_SQL + f" SELECT observation_id FROM log WHERE {AVAILABLE} AND {AGE} <= 864000", base="")
@@ -134,12 +138,40 @@ def recovered_timing(t):
     return obslog.assess_timing(obslog.publication_bounds(log(t)), cut()).select("observation_id", "claimed_publication_timing", "retrieved_after_cutoff", "window_beyond_retrieval")
 
 
-@query("official_sources", LOG_SQL + " SELECT observation_id FROM log WHERE provider IN ('purchase', 'signup', 'view')", base="")
+@query("append_to_log", LOG_SQL + """, old AS (SELECT * FROM log WHERE observation_id % 3 <> 0), stored AS (SELECT observation_id, user_id, sha256, retrieved_at,
+    min(retrieved_at) OVER (PARTITION BY user_id, sha256) AS first_observed_at, lag(observation_id) OVER (PARTITION BY user_id ORDER BY retrieved_at, observation_id) AS previous_observation FROM old),
+  stored_2 AS (SELECT * FROM stored UNION ALL SELECT -observation_id - 1, user_id, sha256, retrieved_at, first_observed_at, observation_id FROM stored WHERE observation_id % 50 = 1),
+  late AS (SELECT l.observation_id, l.user_id, l.sha256, l.retrieved_at, lag(l.observation_id) OVER (PARTITION BY l.user_id ORDER BY l.retrieved_at, l.observation_id) AS previous_observation,
+    min(l.retrieved_at) OVER (PARTITION BY l.user_id, l.sha256) AS first_new FROM log l WHERE observation_id % 3 = 0),
+  first_s AS (SELECT user_id, sha256, min(first_observed_at) AS first_old FROM stored_2 GROUP BY ALL), last_s AS (SELECT user_id, arg_max(observation_id, (retrieved_at, observation_id)) AS last_old FROM stored_2 GROUP BY 1)
+  SELECT observation_id, epoch_us(first_observed_at) AS first_observed_at, previous_observation FROM stored_2
+  UNION ALL SELECT observation_id, epoch_us(least(first_new, first_old)), coalesce(previous_observation, last_old) FROM late LEFT JOIN first_s USING (user_id, sha256) LEFT JOIN last_s USING (user_id)""", base="")
+def append_to_log(t):
+    """A log is stored, some of it reviewed, and the rest appended: stored rows keep their links."""
+    new = new_rows(t)
+    old = obslog.append_observations(None, new.filter(F.col("observation_id") % 3 != 0), ["user_id"])
+    some = old.filter(F.col("observation_id") % 50 == 1)
+    reviews = some.select((-F.col("observation_id") - 1).alias("observation_id"), F.col("observation_id").alias("reviews"), F.lit("second").alias("reviewed_by"), F.col("retrieved_at").alias("reviewed_at"))
+    stored = materialize(obslog.append_reviews(old, reviews))
+    d = obslog.append_observations(stored, new.filter(F.col("observation_id") % 3 == 0), ["user_id"])
+    return d.select("observation_id", F.unix_micros(F.col("first_observed_at").cast("timestamp")).alias("first_observed_at"), "previous_observation")
+
+
+@query("official_sources", LOG_SQL + """ SELECT observation_id FROM log WHERE observation_id % 6 IN (0, 3, 5) AND (provider IN ('purchase', 'signup') AND observation_id % 11 <> 0 OR provider = 'view')""", base="")
 def official_sources(t):
-    """Official by provider, or by approved host."""
-    return obslog.official(log(t), ["purchase", "signup"], ["view.example.org"]).select("observation_id")
+    """Official by provider at its own host, or by approved host; some addresses have another
+    scheme, a user part, a port, or another host."""
+    d = log(t)
+    kind, host = F.col("observation_id") % 6, F.concat("provider", F.lit(".example.org"))
+    host = F.when((F.col("observation_id") % 11 == 0) & (F.col("provider") != "view"), F.lit("copy.example.net")).otherwise(host)
+    start = F.when(kind == 1, "http://").when(kind == 2, "https://me:secret@").otherwise("https://")
+    port = F.when(kind == 3, ":443").when(kind == 4, ":8080").otherwise("")
+    d = d.withColumn("uri", F.concat(start, host, port, F.lit("/"), F.col("user_id").cast("string")))
+    return obslog.official(d, {p: [f"{p}.example.org"] for p in ("purchase", "signup")}, ["view.example.org"]).select("observation_id")
 
 
-@query("log_inventory", LOG_SQL + """ SELECT user_id, count(*) AS observations, epoch_us(min(retrieved_at)) // 1000000 AS first_observed_at, count(reviewed_by) AS reviewed, bit_xor(CAST(concat('0x', substr(sha256, 1, 15)) AS BIGINT)) AS digest FROM log GROUP BY 1""", base="")
+@query("log_inventory", LOG_SQL + """, e AS (SELECT user_id, sha256, count(*) AS n, min(retrieved_at) AS first, count(reviewed_by) AS reviewed FROM log GROUP BY ALL)
+  SELECT user_id, CAST(sum(n) AS BIGINT) AS observations, epoch_us(min(first)) // 1000000 AS first_observed_at, CAST(sum(reviewed) AS BIGINT) AS reviewed,
+  CAST(sum(CAST(CAST(concat('0x', substr(sha256(sha256 || ':' || n), 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM e GROUP BY 1""", base="")
 def log_inventory(t):
     return obslog.inventory(log(t), ["user_id"]).select("user_id", "observations", secs("first_observed_at"), "reviewed", "digest")

@@ -423,39 +423,44 @@ def blend_choice(t):
 
 # --- bootstrap -------------------------------------------------------------------------------
 
-BOOT = """, seq AS (SELECT *, row_number() OVER (ORDER BY event_date, event_id) - 1 AS i, count(*) OVER () AS n FROM {src}),
-  dr AS (SELECT rep, CAST(concat('0x', substr(md5('{seed}:' || rep || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM seq, (SELECT unnest(range({reps})) AS rep))"""
+REPS = 2000
+_WEIGHT = " + ".join(f"CAST(x >= {v} AS INTEGER)" for v in bootstrap.limits())
+BOOT = """, src AS MATERIALIZED (SELECT * FROM {src}), pairs_of AS (SELECT src.*, pair, md5('{seed}:' || pair || ':' || event_id) AS h FROM src, (SELECT unnest(range(0, {reps}, 2)) AS pair)),
+  half AS (SELECT *, unnest([0, 1]) AS odd FROM pairs_of), number AS (SELECT *, pair + odd AS rep, CAST(concat('0x', substr(h, 1 + 15 * odd, 15)) AS BIGINT) AS x FROM half),
+  dr AS (SELECT *, """ + _WEIGHT + """ AS w FROM number)"""
+
+
+def _wmean(c):
+    return f"sum(w * {c}) / nullif(sum(CASE WHEN {c} IS NOT NULL THEN w END), 0) AS {c}"
 
 
 def _event_losses(t):
-    e = t.entries().filter(F.col("season") == 1999)
-    return e.groupBy("event_id", "event_date").agg(
+    return t.entries().groupBy("event_id", "event_date").agg(
         F.avg(F.pow(F.col("p_podium") - F.col("podium"), 2)).alias("brier"), F.avg(F.col("podium").cast("double")).alias("rate"),
         F.sum(F.pow(F.col("p_podium") - F.col("podium"), 2)).alias("loss_sum"), F.sum("podium").alias("hits"), F.count(F.lit(1)).alias("rows"))
 
 
-EVENT_LOSS_SQL = ", ev AS (SELECT event_id, event_date, avg((p_podium - podium) * (p_podium - podium)) AS brier, avg(podium) AS rate, sum((p_podium - podium) * (p_podium - podium)) AS loss_sum, sum(podium) AS hits, count(*) AS rows FROM entries WHERE season = 1999 GROUP BY ALL)"
+EVENT_LOSS_SQL = ", ev AS (SELECT event_id, event_date, avg((p_podium - podium) * (p_podium - podium)) AS brier, avg(podium) AS rate, sum((p_podium - podium) * (p_podium - podium)) AS loss_sum, sum(podium) AS hits, count(*) AS rows FROM entries GROUP BY ALL)"
 
 
-@query("bootstrap_mean", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=11, reps=200) + """, r AS (SELECT rep, avg(brier) AS brier, avg(rate) AS rate FROM dr JOIN seq USING (i) GROUP BY 1)
+@query("bootstrap_mean", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=11, reps=REPS) + f""", r AS (SELECT rep, {_wmean("brier")}, {_wmean("rate")} FROM dr GROUP BY 1)
   SELECT 'brier' AS metric, round((SELECT avg(brier) FROM ev), 6) AS estimate, round(quantile_cont(brier, 0.025), 6) AS lower_95, round(quantile_cont(brier, 0.975), 6) AS upper_95 FROM r
   UNION ALL SELECT 'rate', round((SELECT avg(rate) FROM ev), 6), round(quantile_cont(rate, 0.025), 6), round(quantile_cont(rate, 0.975), 6) FROM r""")
 def bootstrap_mean(t):
-    return rounded(bootstrap.bootstrap_mean(_event_losses(t), EVENT_ORDER, ["brier", "rate"], 200, 11), ["estimate", "lower_95", "upper_95"])
+    return rounded(bootstrap.bootstrap_mean(_event_losses(t), "event_id", ["brier", "rate"], REPS, 11), ["estimate", "lower_95", "upper_95"])
 
 
-@query("bootstrap_pooled", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=12, reps=200) + """, r AS (SELECT rep, sum(loss_sum) / sum(rows) AS brier, CAST(sum(hits) AS DOUBLE) / sum(rows) AS rate FROM dr JOIN seq USING (i) GROUP BY 1)
+@query("bootstrap_pooled", EVENT_LOSS_SQL + BOOT.format(src="ev", seed=12, reps=REPS) + """, r AS (SELECT rep, sum(w * loss_sum) / sum(w * rows) AS brier, CAST(sum(w * hits) AS DOUBLE) / sum(w * rows) AS rate FROM dr GROUP BY 1)
   SELECT 'brier' AS metric, round((SELECT sum(loss_sum) / sum(rows) FROM ev), 6) AS estimate, round(quantile_cont(brier, 0.025), 6) AS lower_95, round(quantile_cont(brier, 0.975), 6) AS upper_95 FROM r
   UNION ALL SELECT 'rate', round((SELECT CAST(sum(hits) AS DOUBLE) / sum(rows) FROM ev), 6), round(quantile_cont(rate, 0.025), 6), round(quantile_cont(rate, 0.975), 6) FROM r""")
 def bootstrap_pooled(t):
-    return rounded(bootstrap.bootstrap_pooled(_event_losses(t), EVENT_ORDER, {"brier": "loss_sum", "rate": "hits"}, "rows", 200, 12), ["estimate", "lower_95", "upper_95"])
+    return rounded(bootstrap.bootstrap_pooled(_event_losses(t), "event_id", {"brier": "loss_sum", "rate": "hits"}, "rows", REPS, 12), ["estimate", "lower_95", "upper_95"])
 
 
-@query("ranking_intervals", RANK_SQL + BOOT.format(src="(SELECT em.*, event_date FROM em JOIN events_t USING (event_id) WHERE em.season = 1999)", seed=13, reps=200) + """, r AS (SELECT rep, avg(mae) AS mae, avg(spearman) AS spearman, avg(winner_top1) AS winner_top1, avg(podium_overlap) AS podium_overlap FROM dr JOIN seq USING (i) GROUP BY 1)
+@query("ranking_intervals", RANK_SQL + BOOT.format(src="em", seed=13, reps=REPS) + f""", r AS (SELECT rep, {_wmean("mae")}, {_wmean("spearman")}, {_wmean("winner_top1")}, {_wmean("podium_overlap")} FROM dr GROUP BY 1)
   SELECT metric, round(estimate, 6) AS estimate, round(lo, 6) AS lower_95, round(hi, 6) AS upper_95 FROM (
-  SELECT 'mae' AS metric, (SELECT avg(mae) FROM seq) AS estimate, quantile_cont(mae, 0.025) AS lo, quantile_cont(mae, 0.975) AS hi FROM r UNION ALL SELECT 'spearman', (SELECT avg(spearman) FROM seq), quantile_cont(spearman, 0.025), quantile_cont(spearman, 0.975) FROM r
-  UNION ALL SELECT 'winner_top1', (SELECT avg(winner_top1) FROM seq), quantile_cont(winner_top1, 0.025), quantile_cont(winner_top1, 0.975) FROM r UNION ALL SELECT 'podium_overlap', (SELECT avg(podium_overlap) FROM seq), quantile_cont(podium_overlap, 0.025), quantile_cont(podium_overlap, 0.975) FROM r)""")
+  SELECT 'mae' AS metric, (SELECT avg(mae) FROM src) AS estimate, quantile_cont(mae, 0.025) AS lo, quantile_cont(mae, 0.975) AS hi FROM r UNION ALL SELECT 'spearman', (SELECT avg(spearman) FROM src), quantile_cont(spearman, 0.025), quantile_cont(spearman, 0.975) FROM r
+  UNION ALL SELECT 'winner_top1', (SELECT avg(winner_top1) FROM src), quantile_cont(winner_top1, 0.025), quantile_cont(winner_top1, 0.975) FROM r UNION ALL SELECT 'podium_overlap', (SELECT avg(podium_overlap) FROM src), quantile_cont(podium_overlap, 0.025), quantile_cont(podium_overlap, 0.975) FROM r)""")
 def ranking_intervals(t):
-    ev = t.events().filter(F.col("season") == 1999).select("event_id", "event_date")
-    d = event_metrics(t, False).join(ev, "event_id")
-    return rounded(bootstrap.bootstrap_mean(d, EVENT_ORDER, ["mae", "spearman", "winner_top1", "podium_overlap"], 200, 13), ["estimate", "lower_95", "upper_95"])
+    d = event_metrics(t, False)
+    return rounded(bootstrap.bootstrap_mean(d, "event_id", ["mae", "spearman", "winner_top1", "podium_overlap"], REPS, 13), ["estimate", "lower_95", "upper_95"])

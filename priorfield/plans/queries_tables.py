@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
@@ -67,8 +68,7 @@ def decision_records(t):
     urgent = t.read("orders").filter(F.col("o_orderpriority") == "1-URGENT")
     part = F.floor(F.col("o_orderkey") / 1000)  # order keys are unique: at most 1000 records per document
     urgent.groupBy("o_custkey", part.alias("part")).agg(F.collect_list(r).alias("records")).select("records").write.json(d)
-    doc = t.spark.read.schema("records array<struct<race_id:long,reason:string>>").json(d)
-    return doc.select(F.explode("records").alias("r")).select("r.*")
+    return io.read_records(t.spark, d, "records array<struct<race_id:long,reason:string>>", ["race_id", "reason"], ["race_id"], lines=True)
 
 
 @query("json_rows", """SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders""", base="")
@@ -88,7 +88,9 @@ def write_once(t):
     state = "overwritten"
     try:
         io.write_once(o, d)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
         state = "kept"
     return t.spark.read.parquet(d).withColumn("state", F.lit(state))
 
@@ -214,7 +216,7 @@ def zoned_timestamps(t):
     return t.read("events").select("event_id", F.unix_timestamp(x.utc_timestamp(text)).alias("seconds"), F.unix_timestamp(x.scheduled_cutoff("ts")).alias("cutoff"))
 
 
-@query("identifier_patterns", """SELECT doc_id, CAST(regexp_full_match(source, '[a-z0-9][a-z0-9_-]*') AS INTEGER) AS id_ok, CAST(regexp_full_match(text, '[a-z0-9][a-z0-9_-]*') AS INTEGER) AS text_ok,
+@query("identifier_patterns", """SELECT doc_id, CAST(regexp_full_match(source, '[A-Za-z0-9][A-Za-z0-9._-]{0,99}') AS INTEGER) AS id_ok, CAST(regexp_full_match(text, '[A-Za-z0-9][A-Za-z0-9._-]{0,99}') AS INTEGER) AS text_ok,
   CAST(regexp_full_match(sha256(text), '[0-9a-f]{64}') AS INTEGER) AS digest_ok, sha256(text) AS digest FROM documents""", base="")
 def identifier_patterns(t):
     d = t.read("documents").withColumn("digest", F.sha2("text", 256))
@@ -222,15 +224,16 @@ def identifier_patterns(t):
                     x.is_digest("digest").cast("int").alias("digest_ok"), "digest")
 
 
-HOSTS = "'thther.example.org', 'therha.example.com'"
+PORTED = """regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || CASE page_id % 6 WHEN 0 THEN ':443' WHEN 3 THEN ':8080' ELSE '' END || regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1)"""
 
 
-@query("url_rules", f"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-  CAST(url LIKE 'https://%' AND regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) LIKE '%.example.org' AND NOT regexp_matches(url, '^https://[^/]*@') AS INTEGER) AS org_https FROM pages""", base="")
+@query("url_rules", f"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
+  CAST(regexp_matches(url, '^https://(thther[.]example[.]org|therha[.]example[.]com)(:443)?([/?#]|$)') AS INTEGER) AS listed FROM (SELECT page_id, """ + PORTED + """ AS url FROM pages)""", base="")
 def url_rules(t):
-    p = t.read("pages").select("page_id", "url", x.url_host("url").alias("host"))
-    ok = (F.try_parse_url("url", F.lit("PROTOCOL")) == "https") & F.col("host").endswith(".example.org") & F.try_parse_url("url", F.lit("USERINFO")).isNull()
-    return p.select("page_id", "host", x.flag(ok).alias("org_https"))
+    """Https addresses of listed hosts; every third page gets port 443 or 8080."""
+    port = F.when(F.col("page_id") % 6 == 0, ":443").when(F.col("page_id") % 6 == 3, ":8080").otherwise("")
+    p = t.read("pages").withColumn("url", F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), port, F.regexp_extract("url", "^[a-z]+://[^/?#]+(.*)$", 1)))
+    return p.select("page_id", x.url_host("url").alias("host"), x.flag(x.url_allowed("url", ["thther.example.org", "therha.example.com"])).alias("listed"))
 
 
 @query("canonical_digest", """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS digest FROM orders""", base="")
@@ -336,13 +339,15 @@ def aligned_join(t):
     return joins.join_checked(f, y, ["event_id", "entrant"], "inner", "one_to_one").select("event_id", "entrant", "points", "p_points")
 
 
-@query("source_conflicts", """, a AS (SELECT venue AS k, min(event_date) AS d FROM events_t WHERE season = 1999 GROUP BY 1), b AS (SELECT grp AS k, min(event_date) AS d FROM entries WHERE season = 1999 GROUP BY 1)
+@query("source_conflicts", """, a AS (SELECT season || ':' || venue AS k, min(event_date) AS d FROM events_t GROUP BY 1), b AS (SELECT season || ':' || grp AS k, min(event_date) AS d FROM entries GROUP BY 1)
   SELECT k, CAST(a.d AS VARCHAR) AS left_value, CAST(b.d AS VARCHAR) AS right_value FROM a FULL JOIN b USING (k) WHERE a.d IS DISTINCT FROM b.d""")
 def source_conflicts(t):
-    e = t.entries().filter(F.col("season") == 1999)
-    a = t.events().filter(F.col("season") == 1999).groupBy(F.col("venue").alias("k")).agg(F.min("event_date").cast("string").alias("d"))
-    b = e.groupBy(F.col("grp").alias("k")).agg(F.min("event_date").cast("string").alias("d"))
-    return joins.source_conflicts(a, b, "k", "d")
+    """First day of each venue and of each group in every season, from two sources."""
+    def first(d, c):
+        key = F.concat_ws(":", F.col("season").cast("string"), F.col(c).cast("string")).alias("k")
+        return d.groupBy(key).agg(F.min("event_date").cast("string").alias("d"))
+
+    return joins.source_conflicts(first(t.events(), "venue"), first(t.entries(), "grp"), "k", "d")
 
 
 @query("exact_identity_lookup", """, r AS (SELECT season, entrant, grp, max(qty) AS best FROM entries WHERE season = 1998 GROUP BY ALL) SELECT e.event_id, e.entrant, r.best FROM entries e
@@ -486,9 +491,11 @@ def one_value_per_key(t):
     return rollups.assert_constant(t.entries(), "entrant", "venue").select("entrant")
 
 
-@query("one_split_per_event", "SELECT event_id FROM entries GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("one_split_per_event", """SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 AND entrant % 2 = 0 THEN 'other' ELSE split END AS split FROM entries) GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def one_split_per_event(t):
-    return rollups.assert_constant(t.entries(), "event_id", "split")
+    """Events with several splits; some rows of every tenth event are put into another one here."""
+    other = (F.col("event_id") % 10 == 0) & (F.col("entrant") % 2 == 0)
+    return rollups.assert_constant(t.entries().withColumn("split", F.when(other, "other").otherwise(F.col("split"))), "event_id", "split")
 
 
 @query("column_profile", """SELECT 'flag' AS "column", CAST(count(*) - count(flag) AS BIGINT) AS nulls, count(DISTINCT flag) AS distinct_values FROM entries UNION ALL SELECT 'start_slot', count(*) - count(start_slot), count(DISTINCT start_slot) FROM entries

@@ -4,19 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+_FALLBACK: dict[str, str] = {}  # by application
+_OWN: list[str] = []  # folders of open own_folder blocks
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names. A temporary one only if none is named and the driver
+    and all tasks are one process; on a cluster a missing setting is an error."""
+    if _OWN:
+        return _OWN[-1]
     path = spark.conf.get(CHECKPOINT_DIR, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="priorfield-")
-        spark.conf.set(CHECKPOINT_DIR, path)
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="priorfield-")
+    return _FALLBACK[context.applicationId]
+
+
+@contextmanager
+def own_folder(spark: SparkSession):
+    """Copies written inside the block go to a folder of their own, removed at its end.
+
+    Frames built inside must be used up (written or collected) before the block ends.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _OWN.append(path)
+    try:
+        yield path
+    finally:
+        _OWN.remove(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

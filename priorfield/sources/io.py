@@ -20,9 +20,9 @@ def read_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructTyp
     return out
 
 
-def read_records(spark: SparkSession, path: str, schema, required, keys, field: str = "records") -> DataFrame:
-    """Decision records inside a JSON document: required fields present, keys unique."""
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+def read_records(spark: SparkSession, path: str, schema, required, keys, field: str = "records", lines: bool = False) -> DataFrame:
+    """Decision records inside JSON documents: required fields present, keys unique. ``lines``: one document per line."""
+    doc = spark.read.schema(schema).json(path, multiLine=not lines)
     d = doc.select(F.explode(field).alias("_r")).select("_r.*")
     strict(check_not_null(d, keys, required), check_unique(d, keys))
     return d

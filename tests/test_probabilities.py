@@ -135,7 +135,7 @@ def test_pairwise_equals_all_pairs(frame):
 
 def test_bootstrap_is_repeatable(spark):
     d = spark.createDataFrame([(i, v) for i, v in enumerate([0.1, 0.2, 0.4, 0.8])], "k long, v double")
-    a, b = (bootstrap.bootstrap_mean(d, ["k"], ["v"], 200, 3).first() for _ in range(2))
+    a, b = (bootstrap.bootstrap_mean(d, "k", ["v"], 200, 3).first() for _ in range(2))
     assert tuple(a)[1:] == pytest.approx(tuple(b)[1:])  # the order of addition may differ
     assert a["lower_95"] <= a["estimate"] <= a["upper_95"] and a["estimate"] == pytest.approx(0.375)
 
@@ -147,3 +147,20 @@ def test_score_forecasts(spark):
     r = scoring.score_forecasts(long, out, "event", "entrant").first()
     assert r["win_brier"] == pytest.approx((0.36 + 0.49 + 0.01) / 3) and r["mae"] == pytest.approx(2 / 3)
     assert r["spearman"] == pytest.approx(1 - 6 * 2 / 24) and r["winner_top1"] == 0 and r["podium_overlap"] == 1
+
+
+def test_score_forecasts_needs_equal_rosters(spark):
+    schema = "event long, method string, stage string, entrant string, predicted_order int, p_win double, p_podium double, p_points double"
+    long = spark.createDataFrame([(1, "m", "raw", e, o, 0.5, 0.5, 0.5) for e, o in (("a", 1), ("b", 2), ("c", 3))], schema)
+    out = spark.createDataFrame([(1, "a", 2, 2, 18.0), (1, "b", 1, 1, 25.0)], "event long, entrant string, finish_order int, position int, points double")
+    with pytest.raises(ValueError, match="different entrants"):
+        scoring.score_forecasts(long, out, "event", "entrant")
+    with pytest.raises(ValueError, match="different entrants"):
+        scoring.score_forecasts(long.filter("entrant = 'a'"), out, "event", "entrant")
+    assert scoring.score_forecasts(long, out, "event", "entrant", strict=False).count() == 1
+
+
+def test_kendall_of_fractions_has_no_ties(spark):
+    d = spark.createDataFrame([(1, 1.2, 0.1), (1, 1.8, 0.2), (1, 1.5, 0.3)], "event long, actual double, score double")
+    r = metrics.kendall(d, "event", "actual", "score").first()
+    assert (r["concordant"], r["discordant"]) == (2, 1)
