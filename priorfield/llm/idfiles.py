@@ -155,11 +155,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encode, out, name = encoder(tokenizer).encode, None, f"part-{task.partitionId():06d}-{uuid.uuid4().hex[:12]}"
+        encode, out, name = encoder(tokenizer).encode_column, None, f"part-{task.partitionId():06d}-{uuid.uuid4().hex[:12]}"
         for batch in batches:
-            for i in range(batch.num_rows):
+            for doc_id, ids in zip(batch.column(0), encode(batch.column(1))):
                 out = out or _File(f"{path}/{name}", block, bits)
-                out.add(batch.column(0)[i].as_py(), np.append(encode(batch.column(1)[i].as_py()), np.uint32(end_id)))
+                out.add(doc_id.as_py(), np.append(ids, np.uint32(end_id)))
         if out:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "part": [task.partitionId()], "docs": [n_docs], "ids": [n_ids]},

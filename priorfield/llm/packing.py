@@ -150,15 +150,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     def pack(batches):
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer).encode, _Packer(TaskContext.get().partitionId(), size)
+        encode, packer = encoder(tokenizer).encode_column, _Packer(TaskContext.get().partitionId(), size)
 
         def frame(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
         rows = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows += packer.add(batch.column(0)[i].as_py(), np.append(encode(batch.column(1)[i].as_py()), np.uint32(end_id)))
+            for doc_id, ids in zip(batch.column(0), encode(batch.column(1))):
+                rows += packer.add(doc_id.as_py(), np.append(ids, np.uint32(end_id)))
                 if len(rows) >= 10_000:
                     yield frame(rows)
                     rows = []

@@ -12,6 +12,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _WHITE = r" \t\n\r\x0b\x0c"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -67,7 +69,7 @@ class _Cache(dict):
 
 
 class Encoder:
-    """Encode texts one after the other. Words between single spaces and their pieces are cached;
+    """Encodes texts. Words between single spaces and their pieces are cached;
     a cache is emptied once it holds more keys than its limit."""
 
     def __init__(self, path: str, words: int = 700_000, pieces: int = 1_200_000):
@@ -86,28 +88,53 @@ class Encoder:
             self.pieces.add(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes)
         return at
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text as unsigned 32-bit integers; null counts as empty."""
-        if not text:
-            return np.empty(0, dtype=np.uint32)
+    def _alone(self, text: str) -> np.ndarray | None:
+        """The ids of a text that can't be cut at single spaces; None if it can."""
         if _any(_RARE_ASCII, text) or not text.isascii() and _any(_RARE, text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if len(self.pieces) > self.limits[1]:
-            self.pieces = _Cache()
         if text[0] == " " or text[-1] == " " or _any(_NOT_SINGLE, text):
             return self.pieces.gather(self._pieces(PIECE.findall(text)))
-        if len(self.words) > self.limits[0]:
-            self.words = _Cache()
-        first, *rest = text.split(" ")  # the first word has no space in front
-        at = self.words.look_up(rest)
+        return None
+
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that are cut at single spaces. Different words are looked up once. A first
+        word has no space in front; a line break, which no other word begins with, marks it."""
+        lists = pc.split_pattern(pa.array(["\n" + t for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        at = self.words.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         if self.words.new:
-            cut = [PIECE.findall(" " + word) for word in self.words.new]
+            cut = [PIECE.findall(word[1:] if word[0] == "\n" else " " + word) for word in self.words.new]
             own = self._pieces(list(chain.from_iterable(cut)))
             sizes = self.pieces.starts[own + 1] - self.pieces.starts[own]
             firsts = np.cumsum([0, *map(len, cut)])[:-1]
             self.words.add(self.pieces.gather(own), np.add.reduceat(sizes, firsts))
-        head = self.pieces.gather(self._pieces(PIECE.findall(first)))
-        return np.concatenate([head, self.words.gather(at)]) if rest else head
+        at = at[coded.indices.to_numpy()]
+        ends = np.cumsum(self.words.starts[at + 1] - self.words.starts[at])
+        last = lists.offsets.to_numpy()[1:] - 1
+        return np.split(self.words.gather(at), ends[last[:-1]])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers; null counts as empty."""
+        if len(self.pieces) > self.limits[1]:
+            self.pieces = _Cache()
+        if len(self.words) > self.limits[0]:
+            self.words = _Cache()
+        out = [self._alone(t) if t else np.empty(0, dtype=np.uint32) for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._words([texts[i] for i in rest]) if rest else []):
+            out[i] = ids
+        return out
+
+    def encode_column(self, column: pa.Array, group: int = 1 << 22):
+        """The ids of each text of an Arrow column in turn; so many characters are encoded at a time."""
+        texts, size = [], 0
+        for value in column:
+            texts.append(value.as_py())
+            size += len(texts[-1] or "")
+            if size >= group:
+                yield from self.encode(texts)
+                texts, size = [], 0
+        yield from self.encode(texts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
