@@ -72,7 +72,7 @@ class Encoder:
     """Encodes texts. Words between single spaces and their pieces are cached;
     a cache is emptied once it holds more keys than its limit."""
 
-    def __init__(self, path: str, words: int = 700_000, pieces: int = 1_200_000):
+    def __init__(self, path: str, words: int = 500_000, pieces: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
