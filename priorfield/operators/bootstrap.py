@@ -12,32 +12,42 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS = 60  # of a draw: 15 hexadecimal digits
+DIGITS = 15  # hexadecimal digits of a draw: 60 bits
 
 
-def limits() -> list[int]:
-    """Draws from these limits on mean one more: the distribution function at 0, 1, 2, ... in units of 2**-BITS."""
+def limits() -> list[str]:
+    """Draws from these limits on mean one more: the distribution function at 0, 1, 2, ..., as digits.
+
+    Digits of equal number compare as texts like the numbers they stand for."""
     total, out = 0.0, []
     for k in range(16):
         total += math.exp(-1) / math.factorial(k)
-        out.append(min(int(total * 2**BITS), 2**BITS))
+        x = int(total * 16**DIGITS)
+        if x < 16**DIGITS:
+            out.append(f"{x:0{DIGITS}x}")
     return out
 
 
-def draw(text: Column, odd: Column) -> Column:
-    """The weight from one half of the digest of a text; the other half serves the next repetition."""
-    number = F.conv(F.substring(F.md5(text), F.when(odd, F.lit(16)).otherwise(F.lit(1)), F.lit(15)), 16, 10).cast("long")
-    weight = F.lit(0)
-    for x in limits():
-        weight = weight + (number >= x).cast("int")
-    return weight
+def weight(digits: Column) -> Column:
+    """How often an event is drawn, by the digits of its draw."""
+    borders = limits()
+    out = F.when(digits < borders[0], F.lit(0))
+    for k, x in enumerate(borders[1:], 1):
+        out = out.when(digits < x, F.lit(k))
+    return out.otherwise(F.lit(len(borders)))
 
 
 def _resample(events: DataFrame, key: str, values, reps: int, seed: int) -> DataFrame:
-    """(rep, weight, values) of every event in every repetition; never shuffled as it is."""
-    pair = F.concat_ws(":", F.lit(str(seed)), F.col("rep").bitwiseAND(F.lit(-2)).cast("string"), F.col(key).cast("string"))
-    grid = events.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    return grid.select("rep", draw(pair, F.col("rep") % 2 == 1).alias("_w"), *values)
+    """(rep, weight, values) of every event in every repetition; never shuffled as it is.
+
+    One digest of (seed, even repetition, event) has the draws of that repetition and the next."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string"))
+    # rows are few and draws are many: keep the number of partitions that small rows would be merged out of
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = events.select(key, *values).repartition(parts, key).select(key, *values, F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(2))).alias("rep"))
+    two = [F.struct((F.col("rep") + i).alias("rep"), F.substring("_md5", 1 + DIGITS * i, DIGITS).alias("digits")) for i in (0, 1)]
+    both = grid.withColumn("_md5", F.md5(text)).select(*values, F.explode(F.array(*two)).alias("_d"))
+    return both.filter(F.col("_d.rep") < reps).select("_d.rep", weight(F.col("_d.digits")).alias("_w"), *values)
 
 
 def _interval(samples: DataFrame, points: DataFrame, metrics) -> DataFrame:

@@ -424,9 +424,9 @@ def blend_choice(t):
 # --- bootstrap -------------------------------------------------------------------------------
 
 REPS = 2000
-_WEIGHT = " + ".join(f"CAST(x >= {v} AS INTEGER)" for v in bootstrap.limits())
+_WEIGHT = "CASE " + " ".join(f"WHEN x < '{v}' THEN {k}" for k, v in enumerate(bootstrap.limits())) + f" ELSE {len(bootstrap.limits())} END"
 BOOT = """, src AS MATERIALIZED (SELECT * FROM {src}), pairs_of AS (SELECT src.*, pair, md5('{seed}:' || pair || ':' || event_id) AS h FROM src, (SELECT unnest(range(0, {reps}, 2)) AS pair)),
-  half AS (SELECT *, unnest([0, 1]) AS odd FROM pairs_of), number AS (SELECT *, pair + odd AS rep, CAST(concat('0x', substr(h, 1 + 15 * odd, 15)) AS BIGINT) AS x FROM half),
+  number AS (SELECT *, pair AS rep, substr(h, 1, 15) AS x FROM pairs_of UNION ALL SELECT *, pair + 1, substr(h, 16, 15) FROM pairs_of),
   dr AS (SELECT *, """ + _WEIGHT + """ AS w FROM number)"""
 
 
