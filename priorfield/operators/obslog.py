@@ -83,33 +83,64 @@ def freshness(log: DataFrame, limits: dict[str, int], role: str, cutoff) -> Data
     return available_asof(log, cutoff, F.try_element_at(F.create_map(*pairs), F.col(role)))
 
 
+def _links(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, bool]:
+    """Distinct edges (a, b), written once, and whether every node has at most one outgoing edge."""
+    e = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
+    most = e.groupBy("a").count().agg(F.max("count")).first()[0]
+    return e, (most or 0) <= 1
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    """Two jumps in a row."""
+    return materialize(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+
+
 def evidence_closure(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Everything reachable from the roots, roots included. Each round follows the newly found
-    nodes only, so every edge is used once; rounds equal the depth of the links."""
+    """Everything reachable from the roots, roots included.
+
+    Where nodes have one outgoing edge, as in chains of revisions, jumps double their length each
+    round, so rounds grow with the logarithm of the depth. Otherwise each round follows the newly
+    found nodes only, and only these are written.
+    """
+    links, single = _links(edges, src, dst)
     seen = materialize(roots.select(F.col(roots.columns[0]).alias("node")).distinct())
+    if single:
+        jump, left = links, links.count()
+        while left and not jump.isEmpty():  # a cycle never runs out of jumps: the number of links bounds the rounds
+            seen = materialize(seen.union(jump.join(seen, jump["a"] == seen["node"]).select(F.col("b").alias("node"))).distinct())
+            jump, left = _twice(jump), left // 2
+        return seen
     front = seen
     while True:
-        step = edges.join(front, edges[src] == front["node"]).select(F.col(dst).alias("node")).distinct()
+        step = links.join(front, links["a"] == front["node"]).select(F.col("b").alias("node")).distinct()
         front = materialize(step.join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = materialize(seen.union(front))
+        seen = seen.union(front)
 
 
 def find_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Edges left after removing, again and again, nodes without incoming or outgoing links: the
-    cycles and the links between them. Empty on sound dependencies."""
-    left = materialize(edges.select(src, dst).distinct())
+    """Edges of dependency cycles. Empty on sound dependencies.
+
+    Where nodes have one outgoing edge, these are the edges of nodes that a jump as long as the
+    number of links still reaches, found by doubling. Otherwise nodes without incoming or outgoing
+    edges are removed again and again, which leaves the cycles and also the links between them.
+    """
+    left, single = _links(edges, src, dst)
     size = left.count()
+    if single:
+        jump, steps = left, size
+        while steps and not jump.isEmpty():
+            jump, steps = _twice(jump), steps // 2
+        return left.join(jump.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias(src), F.col("b").alias(dst))
     while size:
-        inner = left.join(left.select(F.col(src).alias(dst)).distinct(), dst, "left_semi")
-        inner = inner.join(inner.select(F.col(dst).alias(src)).distinct(), src, "left_semi").select(src, dst)
-        left = materialize(inner)
+        inner = left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        left = materialize(inner.join(inner.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
         now = left.count()
         if now == size:
             break
         size = now
-    return left
+    return left.select(F.col("a").alias(src), F.col("b").alias(dst))
 
 
 def tampered(log: DataFrame) -> DataFrame:

@@ -79,3 +79,21 @@ def test_ages_bounds_and_digests(spark):
         "*", F.current_timestamp().alias("retrieved_at"), F.lit(None).cast("string").alias("reviewed_by"))
     got = {r["src"]: r["digest"] for r in obslog.inventory(pairs, ["src"]).collect()}
     assert got[1] != got[2]
+
+
+def test_closure_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(1, 20)] + [(50, 51), (51, 50), (60, 50)]
+    forks = chain + [(3, 70), (70, 71), (71, 3)]
+    for edges in (chain, forks):
+        d = spark.createDataFrame(edges, "src long, dst long")
+        for root in (5, 60, 1):
+            want, new = set(), {root}
+            while new:
+                want |= new
+                new = {b for a, b in edges if a in new} - want
+            got = [r["node"] for r in obslog.evidence_closure(d, spark.createDataFrame([(root,)], "r long")).collect()]
+            assert sorted(got) == sorted(want)
+    got = {tuple(r) for r in obslog.find_cycles(spark.createDataFrame(chain, "src long, dst long")).collect()}
+    assert got == {(50, 51), (51, 50)}
+    got = {tuple(r) for r in obslog.find_cycles(spark.createDataFrame(forks, "src long, dst long")).collect()}
+    assert got == {(50, 51), (51, 50), (3, 70), (70, 71), (71, 3)}
