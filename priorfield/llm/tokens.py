@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 _WHITE = r" \t\n\r\x0b\x0c"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which contractions begin with
-_OTHER = "0-9'\u0080-¿×÷Ā-\U0010ffff"
+_OTHER = "\x00-\x08\x0e-\x1b\x7f0-9'\u0080-¿×÷Ā-\U0010ffff"  # with control characters, which join the marks beside them
 #: A piece: white space, then letters only or marks only if nothing else touches them, else all up to the next white space.
 PIECE = re.compile(rf"[{_WHITE}]*(?:[{_LETTER}]++(?![{_OTHER}])|[{_MARK}]++(?![{_OTHER}])|[^{_WHITE}]+)|[{_WHITE}]+")
 #: White space beyond ASCII's usual six, which may belong to one run with these: such texts are encoded whole.

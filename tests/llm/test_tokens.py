@@ -30,6 +30,19 @@ def test_cached_encoding_equals_the_library(file):
             assert ids.tolist() == whole(text), text
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_control_characters_stay_with_their_marks(file):
+    """Terminal codes, NUL and DEL behind and before punctuation, then texts over all of ASCII."""
+    rng, ascii_ = random.Random(2), list(map(chr, range(128)))
+    control = [c for c in ascii_ if not c.isspace() and (c < " " or c == "\x7f")]
+    texts = [" end.\x07", ".\x1b[0m", ")\x00", ".\x7f"] + [f"{a}{b}{c}" for a in ["", "a", " .", "9)", "é-"] for b in control for c in ["", "a", ".[", "'s", "\n"]]
+    texts += ["".join(rng.choice(p) for _ in range(rng.randrange(1, 30))) for p in (ascii_, control + list(".)- aé9'")) for _ in range(3000)]
+    encoder, whole = Encoder(public_tokenizers.path(file), words=300, pieces=500), library(file)
+    for i in range(0, len(texts), 50):
+        for text, ids in zip(texts[i:i + 50], encoder.encode(texts[i:i + 50])):
+            assert ids.tolist() == whole(text), repr(text)
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_planes_round_trip(bits, tmp_path):
     rng = np.random.default_rng(1)
