@@ -2,7 +2,8 @@
 
 The model is small and fixed in size. It is trained on the driver from a bounded sample of labelled
 rows, whose texts reach the driver as word hashes, and sent to the workers, which score whole
-texts. Decision thresholds are calibrated by language on a part of the sample left out of training.
+texts. Decision thresholds, the common one and those by language, are calibrated on all labelled rows
+that the model was not fitted on, from counts by score bin.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from .hashing import PUNCTUATION, word_groups
 
 BUCKETS, DIMENSION, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
@@ -20,8 +22,10 @@ PAD = max(WIDTHS) - 1  # padding behind each text, so that windows never reach i
 #: The bound of the training sample: rows of each class, taken in the order of a hash of their id.
 SAMPLE = 3_000
 EPOCHS, BATCH, RATE = 12, 32, 0.05
-#: A language needs so many rows of each class in the validation part for a threshold of its own.
+#: A language needs so many rows of each class among those not fitted on for a threshold of its own.
 LEAST = 25
+#: Bins of the logit per unit: a power of two, so that borders are exact.
+BINS = 64
 
 
 def in_training(doc_id: Column) -> Column:
@@ -116,57 +120,58 @@ class Model:
         value -= RATE * grad / np.sqrt(sums)
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The border of the logit with the best F1, in the middle of the gap it lies in."""
-    order = np.argsort(-logits)
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(labels) + 1) + labels.sum())
-    k = int(np.argmax(f1))
-    here = logits[order[k]]
-    below = logits[order[k + 1]] if k + 1 < len(order) else here - 1
-    return float((here + below) / 2)
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, languages: list[str | None], weights: np.ndarray, seed: int = 7) -> Model:
-    """Fit on four fifths of the sample, find thresholds on the rest. Without rows of both classes
-    in both parts, every text gets a score near 0."""
+def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
+    """Fit on all given rows; both classes must be among them."""
     model, memory = Model.start(seed), {}
-    held = np.arange(len(labels)) % 5 == 0  # rows come in the order of a hash
-    fit, check = np.flatnonzero(~held), np.flatnonzero(held)
-    if min((labels[i] == c).sum() for i in (fit, check) for c in (0, 1)) == 0:
-        model.out[:] = 0
-        model.intercept, model.threshold = -20.0, 0.0
-        return model
-    rng = np.random.default_rng(seed)
+    fit, rng = np.arange(len(labels)), np.random.default_rng(seed)
     for _ in range(EPOCHS):
         rng.shuffle(fit)
         for i in range(0, len(fit), BATCH):
             own = fit[i:i + BATCH]
             model.step([texts[j] for j in own], labels[own], np.ones(len(own)), memory)
-    logits = np.array([model.logits(texts[i], np.array([0, len(texts[i])]))[0] for i in check])
-    known, w = labels[check], weights[check]
-    # classes are sampled at different rates; each held-out row counts as often as it stands for others
-    order = rng.choice(len(check), size=20 * len(check), p=w / w.sum())
-    model.threshold = best_threshold(logits[order], known[order])
-    names = np.array([languages[i] or "" for i in check])
-    for lang in sorted(set(names)):
-        own = order[names[order] == lang]
-        alike = names == lang
-        if lang and min((known[alike] == 0).sum(), (known[alike] == 1).sum()) >= LEAST:
-            model.by_language[lang] = best_threshold(logits[own], known[own])
     return model
 
 
+def untrained() -> Model:
+    """Every text gets a score near 0."""
+    model = Model.start()
+    model.out[:] = 0
+    model.intercept = -20.0
+    return model
+
+
+def best_thresholds(counts: DataFrame, weights: tuple[float, float], least: int = LEAST) -> dict[str, float]:
+    """By language, and over all rows as "", the border of the logit with the best F1, in the middle of
+    the gap between the bins it lies between; of equal ones the highest.
+
+    ``counts`` has rows of each class, ``n0`` and ``n1``, by ``lang`` and ``bin``; a row counts as often as
+    the weight of its class says. Languages with fewer than ``least`` rows of either class are left out.
+    """
+    own = counts.filter(F.coalesce("lang", F.lit("")) != "").select("lang", "bin", "n0", "n1")
+    common = counts.groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select(F.lit("").alias("lang"), "bin", "n0", "n1")
+    every, down = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy(F.desc("bin"))
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w0, w1 = map(F.lit, weights)
+    d = own.unionByName(common).select(
+        "lang", "bin", F.lead("bin").over(down).alias("below"), *[F.sum(n).over(so_far).alias(f"h{n}") for n in ("n0", "n1")],
+        *[F.sum(n).over(every).alias(f"all_{n}") for n in ("n0", "n1")])
+    d = d.filter((F.col("lang") == "") | (F.least("all_n0", "all_n1") >= least))
+    f1 = 2 * w1 * F.col("hn1") / (w1 * F.col("hn1") + w0 * F.col("hn0") + w1 * F.col("all_n1"))
+    best = d.groupBy("lang").agg(F.max(F.struct(f1.alias("f1"), "bin", "below")).alias("b")).select("lang", "b.bin", "b.below").collect()
+    return {r["lang"]: (r["bin"] + (r["bin"] - BINS if r["below"] is None else r["below"] + 1)) / (2 * BINS) for r in best}
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled rows of each class, from ids that ``in_training`` names.
+    """Train on four fifths of at most ``sample`` labelled rows of each class, from ids that ``in_training``
+    names, and calibrate thresholds on all other rows of these ids. Without rows of both classes in both
+    parts, every text gets a score near 0.
 
     Labels other than 0 and 1 and null ids are left out; an id with several labels counts as 1 if
     any is; of several rows of one id one is used.
     """
     known = labels.filter(in_training(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(
         F.max(label_col).alias("_label"))
-    counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     parts = [known.filter(F.col("_label") == c).orderBy(F.xxhash64(id_col), id_col).limit(sample) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * sample rows
     rows = docs.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
@@ -181,9 +186,45 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_label").cast("int").alias("label"), "lang", "text").mapInArrow(
         hashed, "doc_id long, label int, lang string, words binary").dropDuplicates(["doc_id"])
     got = sorted(rows.withColumn("at", F.xxhash64("doc_id")).collect(), key=lambda r: (r["at"], r["doc_id"]))
-    y = np.array([r["label"] for r in got])
-    weights = np.array([counts[v] / max(1, (y == v).sum()) for v in y]) if len(y) else y
-    return train([np.frombuffer(r["words"], dtype="<i4") for r in got], y, [r["lang"] for r in got], weights)
+    got = [r for i, r in enumerate(got) if i % 5]  # rows come in the order of a hash
+    y = np.array([r["label"] for r in got], dtype=int)
+    fitted = np.bincount(y, minlength=2)
+    if fitted.min() == 0:
+        return untrained()
+    model = train([np.frombuffer(r["words"], dtype="<i4") for r in got], y)
+    used = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in got], "_used long")  # at most 2 * sample rows
+    rest = docs.filter(in_training(F.col(id_col)) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).join(
+        F.broadcast(used), F.col("_id").cast("long") == F.col("_used"), "left_anti")
+    # texts are scored before the join, so that none is shuffled
+    scored = _with_logits(rest, model).groupBy("_id").agg(F.min(F.struct("_lang", "_logit")).alias("_s"))
+    counts = materialize(scored.join(known.withColumnRenamed(id_col, "_id"), "_id").groupBy(
+        F.col("_s._lang").alias("lang"), F.floor(F.col("_s._logit") * BINS).alias("bin")).agg(
+        F.sum(1 - F.col("_label")).cast("long").alias("n0"), F.sum("_label").cast("long").alias("n1")))
+    n = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    if not (n[0] and n[1]):
+        return untrained()
+    # rows fitted on are missing from the counts, more of the rarer class; each other row counts for its share of them
+    model.by_language = best_thresholds(counts, (1 + float(fitted[0]) / n[0], 1 + float(fitted[1]) / n[1]))
+    model.threshold = model.by_language.pop("")
+    return model
+
+
+def _with_logits(rows: DataFrame, model: Model) -> DataFrame:
+    """The columns before the last two, ``_lang`` and ``_text``, then ``_lang``, ``_logit`` and ``_own``: the threshold of the row's language."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size, but for a threshold a language
+    schema = rows.drop("_text").schema.add("_logit", "double").add("_own", "double")
+
+    def score(batches):
+        for batch in batches:
+            m = shared.value
+            logits = [m.logits(buckets, starts) for _, starts, buckets in bucket_groups(
+                [t.encode() if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()])]
+            own = [m.by_language.get(lang, m.threshold) for lang in batch.column(batch.num_columns - 2).to_pylist()]
+            columns = [*batch.columns[:-1], pa.array(np.concatenate(logits).astype(float) if logits else [], pa.float64()), pa.array(own, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_logit", "_own"])
+
+    return rows.mapInArrow(score, schema)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
@@ -195,20 +236,6 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_c
     Columns of these names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "rejected")]
-    threshold = F.lit(float(model.threshold))
-    own = threshold
-    for lang, value in model.by_language.items():
-        own = F.when(F.col("_lang") == lang, F.lit(value)).otherwise(own)
     rows = docs.select(*keep, F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    schema = rows.drop("_text").schema.add("_logit", "double")
-
-    def score(batches):
-        for batch in batches:
-            logits = [shared.value.logits(buckets, starts) for _, starts, buckets in bucket_groups(
-                [t.encode() if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()])]
-            columns = [*batch.columns[:-1], pa.array(np.concatenate(logits).astype(float) if logits else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_logit"])
-
-    scored = rows.mapInArrow(score, schema).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(threshold - F.col("_logit"))))
-    return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("_logit") >= own).alias("rejected"))
+    scored = _with_logits(rows, model).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(float(model.threshold)) - F.col("_logit"))))
+    return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("_logit") >= F.col("_own")).alias("rejected"))
