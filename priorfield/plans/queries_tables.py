@@ -420,6 +420,15 @@ def union_batches(t):
     return rollups.union_all(parts).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
 
 
+@query("union_season_batches", "SELECT CAST(season AS VARCHAR) AS batch, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM entries GROUP BY 1")
+def union_season_batches(t):
+    """One batch for each season found in the table, so that no row is lost."""
+    e = t.saved("season", "points")
+    seasons = sorted((r["season"] for r in e.select("season").distinct().collect()), key=lambda s: (s is None, s)) or [None]
+    parts = [e.filter(F.col("season").eqNullSafe(F.lit(s))).select(F.lit(s).cast("string").alias("batch"), "points") for s in seasons]
+    return rollups.union_all(parts).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+
+
 @query("table_difference", """SELECT event_id, entrant, 'qty' AS "column", CAST(qty AS DOUBLE) AS left_value, CAST(qty AS DOUBLE) + 0.5 AS right_value FROM entries WHERE slot = 2
   UNION ALL SELECT event_id, entrant, 'qual_slot', CAST(qual_slot AS DOUBLE), NULL FROM entries WHERE slot = 3 AND qual_slot IS NOT NULL""")
 def table_difference(t):

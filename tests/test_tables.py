@@ -96,3 +96,13 @@ def test_registry():
     from __spark_entry__ import oracle_sql, queries
 
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 150
+
+
+def test_season_batches_hold_every_row(spark):
+    from priorfield.plans import catalog
+    from priorfield.plans.orders import OrderTables
+
+    folder = "/root/testdata/sf0.001"
+    entries = OrderTables(spark, folder).entries()
+    got = {r.batch: r.n for r in catalog.QUERIES["union_season_batches"](spark, folder).collect()}
+    assert len(got) > 2 and sum(got.values()) == entries.count()
