@@ -227,6 +227,19 @@ def temporal_folds(t):
                                               F.min("season").alias("first_season"), F.max("season").alias("last_season"))
 
 
+ALL_FOLDS = [(f"f{s}", s - 1, s) for s in range(1996, 1999)]
+
+
+@query("expanding_folds", "SELECT fold, fold_role, count(*) AS n, count(DISTINCT event_id) AS events, min(season) AS first_season, max(season) AS last_season FROM (" + " UNION ALL ".join(
+    f"SELECT *, '{name}' AS fold, CASE WHEN season <= {end} THEN 'fit' WHEN season = {score} THEN 'score' END AS fold_role FROM entries" for name, end, score in ALL_FOLDS)
+    + ") WHERE fold_role IS NOT NULL GROUP BY ALL")
+def expanding_folds(t):
+    """Every fold that the training seasons allow."""
+    d = w.temporal_folds(t.entries(), "season", ALL_FOLDS)
+    return d.groupBy("fold", "fold_role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"),
+                                              F.min("season").alias("first_season"), F.max("season").alias("last_season"))
+
+
 @query("normalised_order", """SELECT event_id, entrant, (finish_order - 1) / CAST(greatest(count(*) OVER (PARTITION BY event_id) - 1, 1) AS DOUBLE) AS target FROM entries""")
 def normalised_order(t):
     return w.normalised_order(t.entries(), "event_id", "finish_order", hot=t.hot_event).select("event_id", "entrant", "target")

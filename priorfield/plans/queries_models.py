@@ -158,9 +158,23 @@ def grid():
     return models.candidate_grid({"small": ("price",), "full": FEATURES}, {"logistic": [{"l2": 0.01}, {"l2": 0.1}], "forest": [{"trees": 3, "depth": 3}]})
 
 
+TARGETS = ["win", "podium", "points_finish"]
+
+
+def expanding_folds(d):
+    """One fold for each season but the first: fit on all seasons before it, score it."""
+    seasons = sorted(r["season"] for r in d.select("season").filter(F.col("season").isNotNull()).distinct().collect())
+    return [(f"f{score}", end, score) for end, score in zip(seasons, seasons[1:])]
+
+
+def cross_validated(d):
+    return models.temporal_cv(d, TARGETS, grid(), expanding_folds(d), "season")
+
+
 @query("temporal_cv")
 def temporal_cv(t):
-    return models.temporal_cv(features(t.saved().filter(F.col("split") == "train")), ["podium"], grid()[:4], [("f1997", 1996, 1997), ("f1998", 1997, 1998)], "season")
+    """All candidates and targets over all folds that the training seasons allow."""
+    return cross_validated(features(t.saved().filter(F.col("split") == "train")))
 
 
 CV_SQL = f""", cv AS (SELECT target, slot % 3 AS family, 's' || slot AS candidate, season AS fold, avg({LOSS}) AS log_loss, avg((p - y) * (p - y)) AS brier FROM l JOIN entries USING (event_id, entrant, season) WHERE season <= 1998 GROUP BY ALL),
@@ -191,14 +205,16 @@ def audit_selection(t):
 
 @query("select_family")
 def select_family(t):
+    """For every target each family's best candidate by cross-validation, calibrated, and the family chosen."""
     d = features(t.saved())
+    fit = d.filter(F.col("split") == "train")
     v = d.filter(F.col("split") == "validation")
     blocks = w.assign_blocks(v.select("event_id", "event_date").distinct(), EVENT_ORDER, {"calibration": 800, "selection": 700}, "report").select("event_id", "block")
     v = v.join(blocks, "event_id")
-    g = grid()
-    table, _ = models.select_family(d.filter(F.col("split") == "train"), v.filter(F.col("block") == "calibration"), v.filter(F.col("block") == "selection"),
-                                    ["podium"], {"logistic": g[0], "forest": g[-1]})
-    return table
+    named = {c.name: c for c in grid()}
+    best = models.select_best(cross_validated(fit), ["target", "family"]).collect()
+    return rollups.union_all([models.select_family(fit, v.filter(F.col("block") == "calibration"), v.filter(F.col("block") == "selection"), [y],
+                                                   {r["family"]: named[r["candidate"]] for r in best if r["target"] == y})[0] for y in TARGETS])
 
 
 @query("model_round_trip", "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS differ, count(*) FILTER (event_id % 10 = 0) AS planted FROM entries")

@@ -106,3 +106,31 @@ def test_season_batches_hold_every_row(spark):
     entries = OrderTables(spark, folder).entries()
     got = {r.batch: r.n for r in catalog.QUERIES["union_season_batches"](spark, folder).collect()}
     assert len(got) > 2 and sum(got.values()) == entries.count()
+
+
+def test_selection_covers_candidates_targets_and_folds(spark, monkeypatch):
+    """What the queries hand to cross-validation and selection; fits are replaced by a made-up table."""
+    from priorfield.operators import models
+    from priorfield.plans import catalog, queries_models as q
+
+    folder, seen, chosen = "/root/testdata/sf0.001", [], []
+
+    def cv(d, targets, candidates, folds, season):
+        seen.append((list(targets), [c.name for c in candidates], folds))
+        last = {(y, c.family): c.name for y in targets for c in candidates if (y, c.family) != ("win", "logistic") or c.name == "logistic_small_1"}
+        return spark.createDataFrame([(y, c.name, c.family, name, 1, 0.1 if last[y, c.family] == c.name else 0.5, 0.1) for y in targets for c in candidates for name, *_ in folds],
+                                     "target string, candidate string, family string, fold string, rows long, log_loss double, brier double")
+
+    def family(train, calibration, selection, targets, best):
+        chosen.append((list(targets), {f: c.name for f, c in best.items()}))
+        return spark.createDataFrame([(y, f, 0.1, 0.1, 1) for y in targets for f in best], "target string, family string, log_loss double, brier double, chosen int"), {}
+
+    monkeypatch.setattr(models, "temporal_cv", cv)
+    monkeypatch.setattr(models, "select_family", family)
+    assert catalog.QUERIES["temporal_cv"](spark, folder).count() == 3 * 6 * 3
+    assert catalog.QUERIES["select_family"](spark, folder).count() == 6
+    for targets, candidates, folds in seen:
+        assert targets == ["win", "podium", "points_finish"] and sorted(candidates) == sorted(c.name for c in q.grid())
+        assert folds == [("f1996", 1995, 1996), ("f1997", 1996, 1997), ("f1998", 1997, 1998)]
+    assert [y for ys, _ in chosen for y in ys] == ["win", "podium", "points_finish"]
+    assert chosen[0][1] == {"logistic": "logistic_small_1", "forest": "forest_full_0"} and chosen[1][1]["logistic"] == "logistic_full_1"
