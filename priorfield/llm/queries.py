@@ -160,3 +160,14 @@ def op13(spark, sf_dir):
     from .fim import digests, fill_in_middle
 
     return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query("op12_pu_quality")
+def op12(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .quality import fit_quality, in_training, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    net, _ = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, net, keep=["doc_id"]).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
