@@ -28,20 +28,20 @@ NONE = "\u0000"  # stands for a null value of a marginal
 def with_topics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``_topic`` (0 to 7, the signs of three projections of the hashed words) and ``_tokens`` (words, at least 1)."""
     matrix = projection(dimensions=3)
-    schema = docs.withColumn("_t", F.col(text_col).cast("string")).drop("_t").schema.add("_topic", "string").add("_tokens", "long")
-    rows = docs.withColumn("_t", F.col(text_col).cast("string"))
-
-    def add(batches):
-        for batch in batches:
-            topics, tokens = [], []
-            for _, starts, words in word_groups([t.encode() if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]):
-                for a, b in zip(starts[:-1], starts[1:]):
-                    topics.append(str(int(np.dot(document_point(words[a:b], matrix) > 0, [1, 2, 4]))))
-                    tokens.append(max(1, int(b - a)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(topics, pa.string()), pa.array(tokens, pa.int64())],
-                                             names=[*batch.schema.names[:-1], "_topic", "_tokens"])
-
-    return rows.mapInArrow(add, schema)
+    kind = pa.struct([("topic", pa.string()), ("tokens", pa.int64())])
+
+    @F.arrow_udf("topic string, tokens long")
+    def look(texts: pa.Array) -> pa.Array:
+        topics, tokens = [], []
+        for _, starts, words in word_groups([t.encode() if t else b"" for t in texts.to_pylist()]):
+            for a, b in zip(starts[:-1], starts[1:]):
+                topics.append(str(int(np.dot(document_point(words[a:b], matrix) > 0, [1, 2, 4]))))
+                tokens.append(max(1, int(b - a)))
+        return pa.StructArray.from_arrays([pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], fields=list(kind))
+
+    # only the text goes to Python, and no text comes back
+    return docs.withColumn("_found", look(F.col(text_col).cast("string"))).select(
+        *docs.columns, F.col("_found.topic").alias("_topic"), F.col("_found.tokens").alias("_tokens"))
 
 
 def target_shares(cells: DataFrame, targets: dict | None, powers: dict) -> DataFrame:

@@ -168,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     parts, every text gets a score near 0.
 
     Labels other than 0 and 1 and null ids are left out; an id with several labels counts as 1 if
-    any is; of several rows of one id one is used.
+    any is; of several rows of one id the one whose words come first is used.
     """
     known = labels.filter(in_training(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(
         F.max(label_col).alias("_label"))
@@ -184,7 +184,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "label", "lang", "words"])
 
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_label").cast("int").alias("label"), "lang", "text").mapInArrow(
-        hashed, "doc_id long, label int, lang string, words binary").dropDuplicates(["doc_id"])
+        hashed, "doc_id long, label int, lang string, words binary").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.min("words").alias("words"))
     got = sorted(rows.withColumn("at", F.xxhash64("doc_id")).collect(), key=lambda r: (r["at"], r["doc_id"]))
     got = [r for i, r in enumerate(got) if i % 5]  # rows come in the order of a hash
     y = np.array([r["label"] for r in got], dtype=int)
@@ -211,20 +212,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def _with_logits(rows: DataFrame, model: Model) -> DataFrame:
-    """The columns before the last two, ``_lang`` and ``_text``, then ``_lang``, ``_logit`` and ``_own``: the threshold of the row's language."""
+    """``_lang`` and ``_text``, the last two columns, give way to ``_lang``, ``_logit`` and ``_own``: the
+    threshold of the row's language. Only these two go to Python, and no text comes back."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size, but for a threshold a language
-    schema = rows.drop("_text").schema.add("_logit", "double").add("_own", "double")
+    kind = pa.struct([("logit", pa.float64()), ("own", pa.float64())])
 
-    def score(batches):
-        for batch in batches:
-            m = shared.value
-            logits = [m.logits(buckets, starts) for _, starts, buckets in bucket_groups(
-                [t.encode() if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()])]
-            own = [m.by_language.get(lang, m.threshold) for lang in batch.column(batch.num_columns - 2).to_pylist()]
-            columns = [*batch.columns[:-1], pa.array(np.concatenate(logits).astype(float) if logits else [], pa.float64()), pa.array(own, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_logit", "_own"])
-
-    return rows.mapInArrow(score, schema)
+    @F.arrow_udf("logit double, own double")
+    def score(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        m = shared.value
+        logits = [m.logits(buckets, starts) for _, starts, buckets in bucket_groups([t.encode() if t else b"" for t in texts.to_pylist()])]
+        own = [m.by_language.get(lang, m.threshold) for lang in langs.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(logits).astype(float) if logits else [], pa.float64()), pa.array(own, pa.float64())], fields=list(kind))
+
+    return rows.withColumn("_found", score("_text", "_lang")).select(
+        *[c for c in rows.columns if c != "_text"], F.col("_found.logit").alias("_logit"), F.col("_found.own").alias("_own"))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:

@@ -43,6 +43,51 @@ def test_whole_run(spark, sf):
     assert len(got) and (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_is_registered(n):
     assert sum(name.startswith(f"op{n}_") for name in queries.QUERIES) == 1
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """The mark of a near copy lies on the row, not on its id."""
+    import random
+
+    from helpers import SCHEMA, edited, prose
+
+    rng = random.Random(2)
+    one, two, three = prose(rng, 200), prose(rng, 200), prose(rng, 200)
+    copy = edited(rng, one, 1)
+    rows = [(3, one), (5, copy), (5, two), (1, three), (1, edited(rng, three, 1)), (None, edited(rng, one, 1)), (None, None), (None, ""), (8, prose(rng, 50)), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], SCHEMA).withColumn("component_id", spark_lit("mine")).withColumn("n", spark_lit(1)).repartition(3)
+    near = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    got = near(spark, docs, "")
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    for pair in [(3, one), (5, two), (8, rows[8][1]), (9, ""), (None, None), (None, "")]:
+        assert pair in left
+    assert len(left) == 7 and sum(i == 1 for i, _ in left) == 1
+    # without ids the first row of a group stays
+    alone = spark.createDataFrame([(None, one, "en", "s"), (None, copy, "en", "s")], SCHEMA)
+    assert near(spark, alone, "").count() == 1
+
+
+def spark_lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value)
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf):
+    from helpers import SCHEMA, odd_documents
+
+    docs = spark.createDataFrame(odd_documents(), SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, sf)
+            rows = got.count()
+            assert rows <= table.count() or name == "packing"
+            assert rows or not table.count() or name == "mixing"
+            if name != "packing":
+                assert got.columns == docs.columns
+    once = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, sf)
+    assert once.filter(r"text IS NULL OR text RLIKE '^\\s*$'").count() == 1
