@@ -8,6 +8,8 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: All ASCII characters but letters and digits, for words without punctuation.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+#: Encoders of a worker process with their caches, by file; work on words lets them go, so that a worker holds one kind of cache.
+ENCODERS: dict[str, object] = {}
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
@@ -73,6 +75,7 @@ def word_groups(texts: list[bytes], group: int = 60_000, between: np.ndarray = W
     words of text ``first + i`` are ``words[starts[i]:starts[i + 1]]``. Texts are never cut; a
     group has one text or at most ``group`` bytes, which makes short texts cheap. ``between`` marks
     the bytes that are not part of words."""
+    ENCODERS.clear()
     at = 0
     while at < len(texts):
         end, size = at + 1, len(texts[at])

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .hashing import ENCODERS
+
 _WHITE = r" \t\n\r\x0b\x0c"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which contractions begin with
@@ -137,11 +139,8 @@ class Encoder:
         yield from self.encode(texts)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per file and worker process, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per file and worker process, kept from task to task until the worker does other work on words."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
