@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import materialize
 from .hot import HotGroups, chunk_hot, find_hot, join_same, split_hot
 
 
@@ -293,6 +294,27 @@ def assign_blocks(events: DataFrame, order, sizes: dict[str, int], rest: str, ou
     return seq.withColumn(out, label.otherwise(F.lit(rest))).drop("_seq")
 
 
+def split_blocks(events: DataFrame, order, date: str, shares: dict[str, float], rest: str, out: str = "block",
+                 hot: HotGroups | None = None) -> DataFrame:
+    """Name consecutive chronological blocks by shares of all events; what is left is ``rest``.
+
+    ``order`` begins with ``date``. Events of one date stay together, in the block of the date's first event, so no
+    date lies in two blocks. A block without events, ``rest`` included, is an error.
+    """
+    seq = materialize(event_seq(events, order, "_seq", hot))
+    n = seq.count()
+    first = seq.groupBy(date).agg(F.min("_seq").alias("_first"))
+    label, end = F, 0.0
+    for name, share in shares.items():
+        end += share
+        label = label.when(F.col("_first") < round(end * n), F.lit(name))
+    named = materialize(join_same(seq, first, [date]).withColumn(out, label.otherwise(F.lit(rest))).drop("_seq", "_first"))
+    held = {r[out] for r in named.select(out).distinct().collect()}  # one row for each block
+    if empty := [b for b in [*shares, rest] if b not in held]:
+        raise ValueError(f"no events for {', '.join(empty)}: {n} events are too few for these shares")
+    return named
+
+
 def temporal_folds(df: DataFrame, season: str, folds) -> DataFrame:
     """One copy of a row per fold it takes part in: fit up to the end season, score after it."""
     options = [

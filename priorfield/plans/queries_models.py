@@ -209,7 +209,7 @@ def select_family(t):
     d = features(t.saved())
     fit = d.filter(F.col("split") == "train")
     v = d.filter(F.col("split") == "validation")
-    blocks = w.assign_blocks(v.select("event_id", "event_date").distinct(), EVENT_ORDER, {"calibration": 800, "selection": 700}, "report").select("event_id", "block")
+    blocks = w.split_blocks(v.select("event_id", "event_date").distinct(), EVENT_ORDER, "event_date", {"calibration": 8 / 22, "selection": 7 / 22}, "report").select("event_id", "block")
     v = v.join(blocks, "event_id")
     named = {c.name: c for c in grid()}
     best = models.select_best(cross_validated(fit), ["target", "family"]).collect()

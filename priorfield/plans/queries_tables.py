@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import expr as x
-from ..operators import joins, quality, rollups, scoring, windows as w
+from ..operators import joins, quality, ranges, rollups, scoring, windows as w
 from ..session import shared_dir
 from ..sources import io
 from .orders import EVENT_ORDER
@@ -599,3 +599,13 @@ def rule_roster(t):
 @query("rule_mapping", "SELECT 'mapping' AS rule, CAST(entrant AS VARCHAR) AS key, 'several values of flag' AS detail FROM entries GROUP BY entrant HAVING count(DISTINCT flag) > 1")
 def rule_mapping(t):
     return quality.check_mapping(t.entries(), "entrant", "flag")
+
+
+@query("interval_lookup", """WITH iv AS (SELECT p_partkey AS k, CAST(p_partkey * 7919 % 500 AS DOUBLE) * 1000 AS a, CAST(p_partkey * 7919 % 500 AS DOUBLE) * 1000 + (p_size % 5) * p_size * 100 AS b FROM part),
+  m AS (SELECT o_orderkey, k, row_number() OVER (PARTITION BY o_orderkey ORDER BY a DESC, b, k) AS r FROM orders JOIN iv ON o_totalprice >= a AND o_totalprice < b)
+  SELECT o.o_orderkey, k AS band FROM orders o LEFT JOIN m ON m.o_orderkey = o.o_orderkey AND r = 1""", base="")
+def interval_lookup(t):
+    """The innermost price band of every order; bands nest, touch and may be empty."""
+    start = (F.col("p_partkey") * 7919 % 500).cast("double") * 1000
+    bands = t.read("part").select("p_partkey", start.alias("a"), (start + F.col("p_size") % 5 * F.col("p_size") * 100).alias("b"))
+    return ranges.interval_lookup(t.read("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", bands, "a", "b", "p_partkey", "band").select("o_orderkey", "band")

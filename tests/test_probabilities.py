@@ -111,9 +111,10 @@ def test_calibrators(frame):
     z = np.log(pdf.p_win / (1 - pdf.p_win))
     q = 1 / (1 + np.exp(-(fit["slope"] * z + fit["intercept"])))
     assert abs((q - pdf.y).sum()) < 1e-6 and abs(((q - pdf.y) * z).sum() + 1e-3 * fit["slope"]) < 1e-6  # gradient is zero
-    levels = calibrate.fit_isotonic(df, "p_win", "y")
+    table = calibrate.fit_isotonic(df, "p_win", "y")
+    levels = sorted(map(tuple, table.collect()))
     assert all(a < b for a, b in zip([v for _, v in levels], [v for _, v in levels][1:]))
-    step = calibrate.apply_isotonic(df, "p_win", levels, "q").toPandas()
+    step = calibrate.apply_isotonic(df, "p_win", table, "q").toPandas()
     starts, vals = np.array([a for a, _ in levels]), np.array([v for _, v in levels])
     at = np.clip(np.searchsorted(starts, step.p_win, side="right") - 1, 0, None)
     np.testing.assert_allclose(step.q, vals[at])
