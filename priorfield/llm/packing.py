@@ -133,14 +133,16 @@ class _Packer:
             yield from self._close(taken)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text",
+                   cache: tuple[int, int] = (500_000, 1_000_000)) -> DataFrame:
     """Pack whole documents into sequences of at most ``size`` tokens; one row per piece.
 
     Every id of a document (its tokens and ``end_id``) lies in exactly one piece. A sequence is
     full, or its length is a power of two. ``sequence_id`` has the range in its upper bits; it is
     unique, not gapless. Null texts count as empty (end id only) and lie together on the curve,
     null ids stay null, repeated rows are all packed, and an empty table gives no pieces. Equal
-    texts share a key and are spread over ranges by a hash of their id.
+    texts share a key and are spread over ranges by a hash of their id. ``cache`` bounds the words and pieces
+    whose ids a worker keeps: fewer take less memory and more time.
     """
     tie = F.xxhash64("doc_id")
     ordered = curve_order(docs, id_col, text_col).withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions(
@@ -150,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     def pack(batches):
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer).encode_column, _Packer(TaskContext.get().partitionId(), size)
+        encode, packer = encoder(tokenizer, cache).encode_column, _Packer(TaskContext.get().partitionId(), size)
 
         def frame(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)

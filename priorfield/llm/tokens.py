@@ -139,8 +139,9 @@ class Encoder:
         yield from self.encode(texts)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per file and worker process, kept from task to task until the worker does other work on words."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
+def encoder(path: str, cache: tuple[int, int] = (500_000, 1_000_000)) -> Encoder:
+    """One encoder per file and worker process, kept from task to task until the worker does other work on
+    words. ``cache`` has the most words and pieces it keeps; results do not depend on it."""
+    if path not in ENCODERS or ENCODERS[path].limits != cache:
+        ENCODERS[path] = Encoder(path, *cache)
     return ENCODERS[path]
