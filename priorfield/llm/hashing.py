@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -10,6 +13,9 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 #: Encoders of a worker process with their caches, by file; work on words lets them go, so that a worker holds one kind of cache.
 ENCODERS: dict[str, object] = {}
+#: Texts of so many bytes leave enough free memory behind to give back.
+MUCH = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
 
@@ -70,12 +76,23 @@ def _hash_words(text: bytes, between: np.ndarray = WHITE) -> tuple[np.ndarray, n
     return mix(out ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
+def give_back():
+    """Return free memory to the system. Workers are kept from stage to stage; without this each of them
+    stays as large as its largest batch was."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def word_groups(texts: list[bytes], group: int = 60_000, between: np.ndarray = WHITE):
     """Hash the words of many texts, some at a time: yields (first text, starts, words), where the
     words of text ``first + i`` are ``words[starts[i]:starts[i + 1]]``. Texts are never cut; a
     group has one text or at most ``group`` bytes, which makes short texts cheap. ``between`` marks
-    the bytes that are not part of words."""
-    ENCODERS.clear()
+    the bytes that are not part of words. Memory that is free again is given back before and after."""
+    much = sum(map(len, texts)) >= MUCH
+    if ENCODERS or much:
+        ENCODERS.clear()
+        give_back()
     at = 0
     while at < len(texts):
         end, size = at + 1, len(texts[at])
@@ -86,6 +103,9 @@ def word_groups(texts: list[bytes], group: int = 60_000, between: np.ndarray = W
         hashes, begins = _hash_words(b"\n".join(texts[at:end]), between)
         yield at, np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)])), hashes
         at = end
+        del hashes, begins
+    if much:
+        give_back()
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .hashing import ENCODERS
+from .hashing import ENCODERS, MUCH, give_back
 
 _WHITE = r" \t\n\r\x0b\x0c"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -127,8 +127,9 @@ class Encoder:
             out[i] = ids
         return out
 
-    def encode_column(self, column: pa.Array, group: int = 1 << 22):
-        """The ids of each text of an Arrow column in turn; so many characters are encoded at a time."""
+    def encode_column(self, column: pa.Array, group: int = 1 << 21):
+        """The ids of each text of an Arrow column in turn; so many characters are encoded at a time, and
+        memory that is free again is given back after them."""
         texts, size = [], 0
         for value in column:
             texts.append(value.as_py())
@@ -136,7 +137,11 @@ class Encoder:
             if size >= group:
                 yield from self.encode(texts)
                 texts, size = [], 0
+                give_back()
         yield from self.encode(texts)
+        if size >= MUCH:
+            texts.clear()
+            give_back()
 
 
 def encoder(path: str, cache: tuple[int, int] = (500_000, 1_000_000)) -> Encoder:
