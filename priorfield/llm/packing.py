@@ -76,17 +76,17 @@ def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, text and curve key of every row."""
     matrix = projection()
 
-    def keyed(batches):
-        for batch in batches:
-            texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
-            points = np.zeros((len(texts), DIMENSIONS))
-            for first, starts, words in word_groups(texts):
-                for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-                    points[first + i] = document_point(words[a:b], matrix)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(curve_keys(points))], names=["doc_id", "text", "key"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        keyed, "doc_id long, text string, key long")
+    @F.arrow_udf("long")
+    def key(texts: pa.Array) -> pa.Array:
+        points = np.zeros((len(texts), DIMENSIONS))
+        for first, starts, words in word_groups([t.encode() if t else b"" for t in texts.to_pylist()]):
+            for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+                points[first + i] = document_point(words[a:b], matrix)
+        return pa.array(curve_keys(points), pa.int64())
+
+    # only the text goes to Python, and no text comes back
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.withColumn("key", key("text"))
 
 
 def tail_sizes(n: int) -> list[int]:
