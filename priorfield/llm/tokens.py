@@ -127,21 +127,21 @@ class Encoder:
             out[i] = ids
         return out
 
-    def encode_column(self, column: pa.Array, group: int = 1 << 21):
+    def encode_column(self, column: pa.Array, group: int = 1 << 19):
         """The ids of each text of an Arrow column in turn; so many characters are encoded at a time, and
-        memory that is free again is given back after them."""
-        texts, size = [], 0
+        memory that is free again is given back now and then."""
+        texts, size, since = [], 0, 0
         for value in column:
             texts.append(value.as_py())
             size += len(texts[-1] or "")
             if size >= group:
                 yield from self.encode(texts)
+                since += size
                 texts, size = [], 0
-                give_back()
+                if since >= MUCH:
+                    give_back()
+                    since = 0
         yield from self.encode(texts)
-        if size >= MUCH:
-            texts.clear()
-            give_back()
 
 
 def encoder(path: str, cache: tuple[int, int] = (500_000, 1_000_000)) -> Encoder:
