@@ -176,3 +176,71 @@ def check_outcomes(outcomes: DataFrame, roster: DataFrame, event: str, entrant:
             .unionByName(check_unique(outcomes.filter(F.col(position).isNotNull()), [event, position]))
             .unionByName(check_event_counts(flags, event, {"winner": 1}))
             .unionByName(report(key_diff(roster, outcomes, key), "roster_match", key, F.col("side"))))
+
+
+#: Kinds of documents that may speak for an entry.
+ENTRY_KINDS = ("entry_list", "season_registration", "event_lineup", "withdrawal")
+
+
+def check_evidence(entries: DataFrame, evidence: DataFrame, event: str, entrant: str, group: str, status: str, kind: str) -> DataFrame:
+    """Documents behind each entry: an entry list, or a registration and a lineup, for this entrant and group; a withdrawal
+    document exactly for withdrawn entries; no other kinds; at least one announced entry an event.
+
+    Documents of the entrant under another group do not count; a null kind is an unknown kind.
+    """
+    keys = [event, entrant, group]
+    has = {k: F.max((F.col(kind) == k).cast("int")) for k in ENTRY_KINDS}
+    held = evidence.groupBy(*keys).agg(*[F.coalesce(e, F.lit(0)).alias(f"_{k}") for k, e in has.items()])  # few rows a key: combined before the shuffle
+    d = entries.select(*keys, status).join(held, keys, "left").na.fill(0, [f"_{k}" for k in ENTRY_KINDS])
+    known = (F.col("_entry_list") == 1) | ((F.col("_season_registration") == 1) & (F.col("_event_lineup") == 1))
+    agrees = F.coalesce(F.col(status) == "withdrawn", F.lit(False)) == (F.col("_withdrawal") == 1)
+    odd = evidence.filter(F.col(kind).isNull() | ~F.col(kind).isin(*ENTRY_KINDS))
+    none = entries.groupBy(event).agg(F.coalesce(F.max((F.col(status) == "announced").cast("int")), F.lit(0)).alias("_n")).filter("_n = 0")
+    return (report(d.filter(~known), "evidence", [event, entrant], "neither entry list nor registration with lineup")
+            .unionByName(report(d.filter(~agrees), "withdrawal", [event, entrant], "status and withdrawal document disagree"))
+            .unionByName(report(odd, "evidence_kind", [event, entrant], F.coalesce(F.col(kind), F.lit("unknown"))))
+            .unionByName(report(none, "announced", [event], "no announced entry")))
+
+
+def check_outcome_field(field: DataFrame, results: DataFrame, withdrawals: DataFrame, event: str, entrant: str, group: str, state: str, position: str,
+                        points: str, published: str, cutoff: str, non_start=("DNS",)) -> DataFrame:
+    """Results for the announced field: each entry has a result of its group, or a withdrawal of its group published after the cutoff;
+    non-starters have neither position nor points; points are not negative; every withdrawal is used, once.
+
+    ``field`` has the cutoff, ``withdrawals`` the publication time. Null points count as none.
+    """
+    key = [event, entrant]
+    r = results.select(*key, F.col(group).alias("_group"), state, position, points, F.lit(1).alias("_has"))
+    late = withdrawals.groupBy(*key, group).agg(F.max(published).alias("_published"))
+    d = field.select(*key, group, cutoff).join(r, key, "left").join(late, [*key, group], "left")
+    here = F.col("_has").isNotNull()
+    gone = F.coalesce(F.col("_published") > F.col(cutoff), F.lit(False))
+    amount = F.coalesce(F.col(points).cast("double"), F.lit(0.0))
+    idle = F.coalesce(F.col(state).isin(*non_start), F.lit(False)) & (F.col(position).isNotNull() | (amount != 0))
+    unused = withdrawals.join(d.filter(~here).select(*key, group), [*key, group], "left_anti")
+    return (report(d.filter(~here & ~gone), "missing_result", key, "no result and no withdrawal after the cutoff")
+            .unionByName(report(d.filter(here & ~F.col("_group").eqNullSafe(F.col(group))), "group", key, "result of another group"))
+            .unionByName(report(d.filter(here & idle), "non_start", key, "non-starter with position or points"))
+            .unionByName(report(d.filter(here & ((amount < 0) | F.isnan(amount))), "points", key, "points are negative or no number"))
+            .unionByName(report(unused, "unused_withdrawal", key, "withdrawal without a missing result"))
+            .unionByName(check_unique(withdrawals, key)))
+
+
+def check_schedule(schedule: DataFrame, calendar: DataFrame, event: str, scope, start: str, date: str) -> DataFrame:
+    """Schedules agree with the calendar: the event is in it once, every scope column is equal, and the start, where given, is on its date."""
+    other = calendar.groupBy(event).agg(F.count(F.lit(1)).alias("_rows"), *[F.min(c).alias(f"_o_{c}") for c in scope], F.min(date).alias("_date"))
+    d = schedule.select(event, *scope, start).join(other, event, "left")
+    once = F.coalesce(F.col("_rows") == 1, F.lit(False))
+    wrong = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_o_{c}")), F.lit(c)) for c in scope],
+                    F.when(F.to_date(start) != F.to_date("_date"), F.lit(start)))
+    cells = d.filter(once).select(event, F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("_c"))
+    return report(d.filter(~once), "schedule", [event], "event unknown or repeated in the calendar").unionByName(report(cells, "schedule", [event], F.col("_c")))
+
+
+def check_outcome_times(outcomes: DataFrame, key, start: str, completed: str, retrieved: str, reviewer: str, provider: str, providers) -> DataFrame:
+    """An outcome is complete after the start, retrieved no earlier than complete, reviewed, and of an accepted provider; missing times fail."""
+    bad = {"not complete after the start": F.col(completed) > F.col(start), "retrieved before complete": F.col(retrieved) >= F.col(completed),
+           "no reviewer": F.length(F.trim(F.col(reviewer))) > 0, "provider not accepted": F.col(provider).isin(*providers)}
+    cells = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for text, ok in bad.items()])
+    d = outcomes.select(*key, F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("_c"))
+    return report(d, "outcome_times", key, F.col("_c"))
