@@ -96,6 +96,15 @@ def latest_standings(t):
     return d.join(a, "entrant", "left").join(b, "entrant", "left").na.fill({"season_points": 0})
 
 
+@query("season_end_standings", STANDINGS_SQL + """, lst AS (SELECT season, arg_max(event_id, (event_date, event_id)) AS event_id FROM events_t WHERE event_id IN (SELECT l_orderkey FROM lineitem) GROUP BY season)
+  SELECT st.event_id, st.entrant, lst.season, st.season_points FROM st JOIN lst ON st.event_id = lst.event_id""")
+def season_end_standings(t):
+    """Standings after the last event of each season that has results, for every season in the table."""
+    done = joins.semi(t.events().select("season", *EVENT_ORDER), t.read("lineitem").select(F.col("l_orderkey").alias("event_id")), ["event_id"])
+    s = standings(t).select("event_id", "entrant", "season_points")
+    return asof.latest_standing(s, done, "event_id", "season", EVENT_ORDER, ["entrant"])
+
+
 @query("missingness_ledger", """SELECT event_id, entrant, 'start_slot' AS feature, CASE WHEN flag = 'N' THEN 'not_announced' ELSE 'missing_registry_or_undefined_prior_history' END AS reason FROM entries WHERE start_slot IS NULL UNION ALL
   SELECT event_id, entrant, 'qual_slot', CASE WHEN flag = 'N' THEN 'not_announced' ELSE 'missing_registry_or_undefined_prior_history' END FROM entries WHERE qual_slot IS NULL""")
 def missingness_ledger(t):
