@@ -1,5 +1,7 @@
 """Metrics, reconciliation and calibration against direct recomputation, plain and chunked."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -165,3 +167,26 @@ def test_kendall_of_fractions_has_no_ties(spark):
     d = spark.createDataFrame([(1, 1.2, 0.1), (1, 1.8, 0.2), (1, 1.5, 0.3)], "event long, actual double, score double")
     r = metrics.kendall(d, "event", "actual", "score").first()
     assert (r["concordant"], r["discordant"]) == (2, 1)
+
+
+def test_bootstrap_draws_are_digits_of_digests():
+    texts = [b"", b":7", b":-123456789012", b":" + b"x" * 60]
+    got = {rep: list(w) for rep, w in bootstrap.draws(texts, 11, 103)}
+    assert sorted(got) == list(range(103))
+    for rep, w in got.items():
+        start = 15 * (rep % 2)
+        digits = [hashlib.md5(f"11:{rep - rep % 2}".encode() + x).hexdigest()[start:start + 15] for x in texts]
+        assert w == [sum(d >= x for x in bootstrap.limits()) for d in digits]
+
+
+def test_bootstrap_leaves_out_nulls_and_shuffles_no_draws(spark):
+    d = spark.createDataFrame([(1, 0.5, 2, None), (2, None, 3, None), (None, 1.5, 1, None), (2, 4.0, None, None)], "k long, v double, n long, z double")
+    sums = bootstrap._resample(d, "k", ["v", "n", "z"], 7, 5)
+    assert "Generate" not in sums._jdf.queryExecution().toString()  # no row for each draw
+    got = {r["rep"]: r for r in sums.collect()}
+    w = dict(bootstrap.draws([b":1", b":2", b"", b":2"], 5, 7))
+    for rep, r in got.items():
+        a = [int(x) for x in w[rep]]
+        assert r["s_v"] == a[0] * 0.5 + a[2] * 1.5 + a[3] * 4.0 and r["w_v"] == a[0] + a[2] + a[3]
+        assert r["s_n"] == 2 * a[0] + 3 * a[1] + a[2] and r["s_z"] is None
+    assert len(got) == 7
