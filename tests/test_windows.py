@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from priorfield.operators import windows as w
+from priorfield.operators import hot, windows as w
 from priorfield.operators.hot import find_hot
 
 
@@ -98,3 +98,15 @@ def test_blocks_and_folds(frame):
         "a": 8, "b": 7, "c": len(pdf) - 15}
     folds = w.temporal_folds(df, "day", [("f1", 10, 11), ("f2", 11, 12)]).toPandas()
     assert (folds[folds.fold_role == "fit"].groupby("fold").day.max() == [10, 11]).all()
+
+
+def test_rows_are_dealt_in_proportion_to_the_table(spark, monkeypatch):
+    monkeypatch.setattr(hot, "TASK_ROWS", 10)
+    d = spark.range(1000).select((F.col("id") % 300).alias("k"), "id")
+    found = hot.find_hot(d, ["k"])
+    dealt = hot.deal(d, found)
+    assert dealt.rdd.getNumPartitions() == 100 and dealt.count() == 1000
+    assert hot.deal(d.limit(10), hot.find_hot(d.limit(10), ["k"])).rdd.getNumPartitions() != 100
+    assert hot.deal(d, hot.find_hot(d, ["k"], 3)) is d  # large keys are cut, not dealt
+    plan = w.rank_first(dealt, "k", ["id"], "r", found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
