@@ -110,3 +110,18 @@ def test_rows_are_dealt_in_proportion_to_the_table(spark, monkeypatch):
     assert hot.deal(d, hot.find_hot(d, ["k"], 3)) is d  # large keys are cut, not dealt
     plan = w.rank_first(dealt, "k", ["id"], "r", found)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_chunks_shorter_than_a_rolling_frame(spark, inclusive):
+    d = spark.range(90).select((F.col("id") % 2).alias("k"), F.col("id").alias("at"), F.when(F.col("id") % 7 != 3, F.rand(5) * 9).alias("v"))
+    specs = [w.prior_rolling_mean("r3", "v", 3), w.prior_rolling_mean("r10", "v", 10), w.previous("p", "v"), w.prior_sum("s", "at")]
+    runs = [w.prior_features(d, [(["k"], specs)], ["at"], hot.find_hot(d, ["k"], limit), inclusive) for limit in (1000, 6)]
+    a, b = ({r["at"]: (r["r3"], r["r10"], r["p"], r["s"]) for r in x.collect()} for x in runs)
+    assert a == b and len(a) == 90
+
+
+def test_chunked_sums_carry_no_rows(spark):
+    d = spark.range(90).select((F.col("id") % 2).alias("k"), F.col("id").alias("at"))
+    plan = w.prior_features(d, [(["k"], [w.prior_sum("s", "at"), w.prior_count("n")])], ["at"], hot.find_hot(d, ["k"], 6))
+    assert "collect_list" not in plan._jdf.queryExecution().toString()
