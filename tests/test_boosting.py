@@ -133,6 +133,37 @@ def test_ranker_learns_and_ignores_the_dealing(spark):
         assert gained > 1.4 * p.gain.mean()
 
 
+def test_rounds_write_nothing_and_large_events_agree(spark, monkeypatch):
+    """Events with ties, null keys and one of a third of all rows; rounds over events and over single rows give one model."""
+    rng = np.random.default_rng(11)
+    rows = [(int(e), None if i % 9 == 0 else i % 50, float(rng.integers(6)), float(rng.integers(30)), int(rng.integers(4)))
+            for i, e in enumerate([0] * 60 + [*rng.integers(1, 25, 120)])]
+    df = spark.createDataFrame(rows, "event long, id long, a double, b double, gain int").coalesce(1)
+    params = dict(rounds=3, step=0.5, depth=2, bins=16, k=3, min_weight=0.01)
+    written = []
+    monkeypatch.setattr(b, "materialize", lambda d, plain=b.materialize: written.append(d) or plain(d))
+    model = b.fit_ranker(df, ["a", "b"], "gain", "event", ["id"], "ndcg", **params)
+    assert len(model.trees) == 3 and len(written) == 2  # the binned rows and the events
+    monkeypatch.setattr(b, "PENDING", 2)
+    spark.conf.set("spark.priorfield.maxGroupRows", "20")
+    try:
+        other = b.fit_ranker(df, ["a", "b"], "gain", "event", ["id"], "ndcg", **params)
+    finally:
+        spark.conf.unset("spark.priorfield.maxGroupRows")
+    assert len(written) > 2 + 3  # rows of the large event are written in each round
+    assert [t.splits for t in model.trees] == [t.splits for t in other.trees]
+    assert all(np.allclose(list(t.values.values()), list(o.values.values()), atol=1e-7) for t, o in zip(model.trees, other.trees))
+
+
+def test_blocks_keep_more_bins_than_a_number_holds(spark):
+    """Nine features: their bins take two numbers of a row."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 100, (300, 9)).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(r[8] > 60)) for i, r in enumerate(x)], "id long, " + ", ".join(f"f{i} double" for i in range(9)) + ", y double")
+    model = b.fit_stump_classifier(df, [f"f{i}" for i in range(9)], "y", rounds=3, bins=99)
+    assert {t.splits[1][0] for t in model.trees} == {8}
+
+
 def test_edge_cases(spark):
     schema = "id long, a double, bins string, score string, y int"
     rows = [(1, None, "x", "s", 1), (2, float("nan"), "x", "s", 0), (3, 1.0, "x", "s", None), (4, 1.0, None, None, 1), (4, 1.0, None, None, 1)]
