@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .hot import HotGroups, find_hot, join_same
 from .joins import anti, table_diff
 from .windows import attach_group, last_per, latest, prior_features, rank_first
@@ -17,13 +18,17 @@ def asof_features(entries: DataFrame, history: DataFrame, keysets, order, cutoff
     one order and each entry takes the latest state. Entries never count as history, so any
     number of cutoffs is served at once. ``order`` starts with the history's date.
     """
-    hot = find_hot(history, keysets[0][0]) if hot is None else hot
+    if hot is None:
+        history = materialize(history)  # counted first, then read again
+        hot = find_hot(history, keysets[0][0])
     date, *rest = order
     after = prior_features(history, keysets, order, hot, inclusive=True)
     states = {f"_state{i}": F.struct(*[s.out for s in specs]) for i, (_, specs) in enumerate(keysets)}
     keys = list(dict.fromkeys(k for ks, _ in keysets for k in ks))
     past = after.select(*keys, F.col(date).alias("_at"), F.lit(1).alias("_kind"), *[F.col(c).alias(f"_t_{c}") for c in rest],
                         *[s.alias(n) for n, s in states.items()])
+    if hot:
+        past = materialize(past)  # rows of large keys and all others are read apart
     ask = entries.select("*", F.col(cutoff).alias("_at"), F.lit(0).alias("_kind"))
     both = past.unionByName(ask, allowMissingColumns=True)
     sets = [(ks, [latest(f"_got{i}", f"_state{i}")]) for i, (ks, _) in enumerate(keysets)]

@@ -125,3 +125,30 @@ def test_chunked_sums_carry_no_rows(spark):
     d = spark.range(90).select((F.col("id") % 2).alias("k"), F.col("id").alias("at"))
     plan = w.prior_features(d, [(["k"], [w.prior_sum("s", "at"), w.prior_count("n")])], ["at"], hot.find_hot(d, ["k"], 6))
     assert "collect_list" not in plan._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("limit", ["20", "1000000"])
+def test_asof_computes_the_history_once(spark, limit):
+    """A history that is costly to make: one key with most rows, null keys, dates and values, equal dates."""
+    from priorfield.operators import asof
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def key(x):
+        seen.add(1)
+        return x
+
+    rows = [(1 if i % 3 else (None if i % 2 else i % 5), i, None if i % 11 == 0 else i // 2, None if i % 7 == 0 else i) for i in range(90)]
+    history = spark.createDataFrame(rows, "k long, id long, day long, v long").withColumn("k", key("k"))
+    ask = spark.createDataFrame([(k, d) for k in (0, 1, 4, None) for d in (0, 17, 40, 99)], "k long, cut long")
+    sets = [(["k"], [w.prior_count("n"), w.prior_sum("total", "v")])]
+    spark.conf.set("spark.priorfield.maxGroupRows", limit)
+    try:
+        got = {(r.k, r.cut): (r.n, r.total) for r in asof.asof_features(ask, history, sets, ["day", "id"], "cut").collect()}
+    finally:
+        spark.conf.unset("spark.priorfield.maxGroupRows")
+    for (k, cut), found in got.items():  # null dates come first in the order
+        mine = [r for r in rows if r[0] == k and (r[2] is None or r[2] < cut)]
+        assert found == (len(mine), sum(r[3] or 0 for r in mine))
+    assert len(got) == 16 and seen.value == len(rows)
