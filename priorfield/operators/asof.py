@@ -22,7 +22,7 @@ def asof_features(entries: DataFrame, history: DataFrame, keysets, order, cutoff
         history = materialize(history)  # counted first, then read again
         hot = find_hot(history, keysets[0][0])
     date, *rest = order
-    after = prior_features(history, keysets, order, hot, inclusive=True)
+    after = prior_features(history, keysets, order, hot, inclusive=True, dealt=False)
     states = {f"_state{i}": F.struct(*[s.out for s in specs]) for i, (_, specs) in enumerate(keysets)}
     keys = list(dict.fromkeys(k for ks, _ in keysets for k in ks))
     past = after.select(*keys, F.col(date).alias("_at"), F.lit(1).alias("_kind"), *[F.col(c).alias(f"_t_{c}") for c in rest],
@@ -33,7 +33,7 @@ def asof_features(entries: DataFrame, history: DataFrame, keysets, order, cutoff
     both = past.unionByName(ask, allowMissingColumns=True)
     sets = [(ks, [latest(f"_got{i}", f"_state{i}")]) for i, (ks, _) in enumerate(keysets)]
     line = ["_at", "_kind", *[f"_t_{c}" for c in rest]]
-    got = prior_features(both, sets, line, hot).filter(F.col("_kind") == 0)
+    got = prior_features(both, sets, line, hot, dealt=False).filter(F.col("_kind") == 0)
     outs = []
     for i, (_, specs) in enumerate(keysets):
         for s in specs:

@@ -28,7 +28,7 @@ def _mean(c, frame, keys="entrant"):
        f"{_mean('win', PRE)} AS win_rate FROM entries")
 def prior_mean(t):
     specs = [w.prior_mean("avg_position", "position"), w.prior_mean("points_per_start", "points"), w.prior_mean("win_rate", "win")]
-    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant).select(
+    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant, dealt=False).select(
         "event_id", "entrant", "avg_position", "points_per_start", "win_rate")
 
 
@@ -36,7 +36,7 @@ def prior_mean(t):
     _mean("position", f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING") + f" AS recent_{n}" for n in (3, 5, 10)) + " FROM entries")
 def prior_rolling_mean(t):
     specs = [w.prior_rolling_mean(f"recent_{n}", "position", n) for n in (3, 5, 10)]
-    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant).select(
+    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant, dealt=False).select(
         "event_id", "entrant", "recent_3", "recent_5", "recent_10")
 
 
@@ -44,7 +44,7 @@ def prior_rolling_mean(t):
        f"CAST(coalesce(sum(position) OVER ({BY_ENTRANT} {PRE}), 0) AS BIGINT) AS prior_position_sum FROM entries")
 def prior_sum(t):
     specs = [w.prior_sum("prior_points", "points"), w.prior_sum("prior_position_sum", "position")]
-    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant).select(
+    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant, dealt=False).select(
         "event_id", "entrant", "prior_points", "prior_position_sum")
 
 
@@ -52,20 +52,20 @@ def prior_sum(t):
        "row_number() OVER (PARTITION BY entrant, venue ORDER BY event_date, event_id) - 1 AS venue_entries FROM entries")
 def prior_count(t):
     sets = [(["entrant"], [w.prior_count("prior_entries")]), (["entrant", "venue"], [w.prior_count("venue_entries")])]
-    return w.prior_features(t.entries(), sets, EVENT_ORDER, t.hot_entrant).select("event_id", "entrant", "prior_entries", "venue_entries")
+    return w.prior_features(t.entries(), sets, EVENT_ORDER, t.hot_entrant, dealt=False).select("event_id", "entrant", "prior_entries", "venue_entries")
 
 
 @query("previous_value", f"SELECT event_id, entrant, lag(position) OVER ({BY_ENTRANT}) AS previous_position, "
        f"lag(points) OVER ({BY_ENTRANT}) AS previous_points FROM entries")
 def previous_value(t):
     specs = [w.previous("previous_position", "position"), w.previous("previous_points", "points")]
-    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant).select(
+    return w.prior_features(t.entries(), [(["entrant"], specs)], EVENT_ORDER, t.hot_entrant, dealt=False).select(
         "event_id", "entrant", "previous_position", "previous_points")
 
 
 @query("latest_known_value", f"SELECT event_id, entrant, last_value(position IGNORE NULLS) OVER ({BY_ENTRANT} {PRE}) AS last_position FROM entries")
 def latest_known_value(t):
-    return w.prior_features(t.entries(), [(["entrant"], [w.latest("last_position", "position")])], EVENT_ORDER, t.hot_entrant).select(
+    return w.prior_features(t.entries(), [(["entrant"], [w.latest("last_position", "position")])], EVENT_ORDER, t.hot_entrant, dealt=False).select(
         "event_id", "entrant", "last_position")
 
 
@@ -77,7 +77,7 @@ def user_event_history(t):
     d = t.read("events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     specs = [w.prior_count("prior_events"), w.prior_mean("avg_cents", "cents"), w.prior_rolling_mean("recent_5_cents", "cents", 5),
              w.previous("previous_type", "event_type")]
-    return w.prior_features(d, [(["user_id"], specs)], ["ts", "event_id"]).select(
+    return w.prior_features(d, [(["user_id"], specs)], ["ts", "event_id"], dealt=False).select(
         "event_id", "user_id", "prior_events", "avg_cents", "recent_5_cents", "previous_type")
 
 
@@ -116,7 +116,7 @@ def _history_sql():
 @query("entrant_history", f"SELECT event_id, entrant, {_history_sql()} FROM entries")
 def entrant_history(t):
     sets = entrant_keysets()
-    d = w.prior_features(t.entries(), sets, EVENT_ORDER, t.hot_entrant)
+    d = w.prior_features(t.entries(), sets, EVENT_ORDER, t.hot_entrant, dealt=False)
     return d.select("event_id", "entrant", *[s.out for _, specs in sets for s in specs])
 
 
@@ -358,7 +358,7 @@ STANDINGS_SQL = """, st AS (SELECT event_id, entrant, season, event_date, CAST(s
 
 def standings(t):
     """Points of an entrant in the season after each of its events."""
-    d = w.prior_features(t.entries(), [(["entrant"], []), (["entrant", "season"], [w.prior_sum("season_points", "points")])], EVENT_ORDER, t.hot_entrant, inclusive=True)
+    d = w.prior_features(t.entries(), [(["entrant"], []), (["entrant", "season"], [w.prior_sum("season_points", "points")])], EVENT_ORDER, t.hot_entrant, inclusive=True, dealt=False)
     return d.select("event_id", "entrant", "season", "event_date", "season_points")
 
 
@@ -408,7 +408,7 @@ def full_feature_table(t):
     """Entrant, group, venue and season history joined; the first season is cut after the windows."""
     base = t.saved()
     sets = entrant_keysets()
-    h = w.prior_features(base, sets, EVENT_ORDER, t.hot_entrant)
+    h = w.prior_features(base, sets, EVENT_ORDER, t.hot_entrant, dealt=False)
     g = rollups.group_event_rollup(base, "event_id", "grp", ["event_date"], points=F.sum("points"))
     g = w.prior_features(g, [(["grp"], [w.prior_count("g_events"), w.prior_sum("_p", "points")])], EVENT_ORDER, t.hot_group)
     g = g.select("event_id", "grp", "g_events", safe_divide("_p", "g_events").alias("g_points_per_event"))

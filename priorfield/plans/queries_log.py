@@ -80,7 +80,7 @@ EDGES = """, prev AS (SELECT event_id AS src, lag(event_id) OVER (PARTITION BY u
 def evidence_closure(t):
     """From each source's last observation to everything it builds on (earlier same content)."""
     e = t.read("events")
-    d = w.prior_features(e, [(["user_id"], []), (["user_id", "props"], [w.previous("dst", "event_id")])], ["ts", "event_id"])
+    d = w.prior_features(e, [(["user_id"], []), (["user_id", "props"], [w.previous("dst", "event_id")])], ["ts", "event_id"], dealt=False)
     edges = d.filter(F.col("dst").isNotNull()).select(F.col("event_id").alias("src"), "dst")
     return obslog.evidence_closure(edges, e.groupBy("user_id").agg(F.max("event_id").alias("node")).select("node"))
 

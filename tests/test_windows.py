@@ -152,3 +152,16 @@ def test_asof_computes_the_history_once(spark, limit):
         mine = [r for r in rows if r[0] == k and (r[2] is None or r[2] < cut)]
         assert found == (len(mine), sum(r[3] or 0 for r in mine))
     assert len(got) == 16 and seen.value == len(rows)
+
+
+def test_history_rows_are_dealt_in_proportion_to_the_table(spark, monkeypatch):
+    d = spark.range(1000).select((F.col("id") % 300).alias("k"), F.when(F.col("id") % 300 != 7, F.col("id") % 4).alias("s"), "id")
+    sets = [(["k"], [w.prior_sum("before", "id"), w.prior_rolling_mean("r3", "id", 3)]), (["k", "s"], [w.prior_count("n")])]
+    plain = w.prior_features(d, sets, ["id"], hot.find_hot(d, ["k"])).collect()
+    monkeypatch.setattr(hot, "TASK_ROWS", 10)
+    got = w.prior_features(d, sets, ["id"], hot.find_hot(d, ["k"]), dealt=False)
+    assert got.rdd.getNumPartitions() == 100 and sorted(got.collect()) == sorted(plain)
+    plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # one deal serves every window
+    large = w.prior_features(d.withColumn("k", F.least("k", F.lit(250))), sets, ["id"], hot.find_hot(d.withColumn("k", F.least("k", F.lit(250))), ["k"], 20), dealt=False)
+    assert large.count() == 1000  # rows beside a large key are dealt too
