@@ -166,8 +166,8 @@ def leakage_probe(t):
     day = h.filter(F.col("event_date") == cutoff()).agg(F.min("event_id").alias("first_event")).scalar()
     upto = (F.col("event_date") < cutoff()) | ((F.col("event_date") == cutoff()) & (F.col("event_id") <= day))
     cols = ["n", "avg_finish", "points_before", "recent_5"]
-    a, b = (materialize(w.prior_features(d, PROBE, EVENT_ORDER, t.hot_entrant).filter(upto).select(*KEY, *cols)) for d in (h, changed))
-    return joins.diff_counts(a, b, KEY, cols, F.col("event_id") % 10 == 0)
+    a, b = (materialize(w.prior_features(d, PROBE, EVENT_ORDER, t.hot_entrant, dealt=False).filter(upto).select(*KEY, *cols)) for d in (h, changed))
+    return joins.diff_counts(a, b, KEY, cols, F.col("event_id") % 10 == 0, total=t.hot_event.total)
 
 
 @query("train_serve_parity", """, o AS (SELECT entrant, min(event_id) AS event_id FROM entries GROUP BY entrant, event_date HAVING count(*) = 1)
@@ -175,13 +175,13 @@ def leakage_probe(t):
 def train_serve_parity(t):
     """Training windows against as-of features for every entry whose day has one event of the entrant."""
     h = t.saved(*KEY, "event_date", "points", "position")
-    train = w.prior_features(h, PROBE, EVENT_ORDER, t.hot_entrant)
+    train = w.prior_features(h, PROBE, EVENT_ORDER, t.hot_entrant, dealt=False)
     q = h.select(*KEY, F.col("event_date").alias("cutoff"))
     serve = asof.asof_features(q, h, PROBE, EVENT_ORDER, "cutoff", t.hot_entrant)
     once = h.groupBy("entrant", "event_date").agg(F.count(F.lit(1)).alias("c"), F.min("event_id").alias("event_id")).filter(F.col("c") == 1).select(*KEY)
     cols = ["n", "avg_finish", "points_before", "recent_5"]
     a, b = (materialize(joins.semi(d, once, KEY).select(*KEY, *cols)) for d in (train, serve))
-    return joins.diff_counts(a, b, KEY, cols, F.col("event_id") % 10 == 0, rtol=1e-10, atol=1e-10)
+    return joins.diff_counts(a, b, KEY, cols, F.col("event_id") % 10 == 0, rtol=1e-10, atol=1e-10, total=t.hot_event.total)
 
 
 @query("next_event", f"SELECT venue, arg_min(event_id, (event_date, event_id)) AS event_id FROM events_t WHERE event_date > {CUT} GROUP BY 1", base="events")

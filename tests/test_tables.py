@@ -134,3 +134,21 @@ def test_selection_covers_candidates_targets_and_folds(spark, monkeypatch):
         assert folds == [("f1996", 1995, 1996), ("f1997", 1996, 1997), ("f1998", 1997, 1998)]
     assert [y for ys, _ in chosen for y in ys] == ["win", "podium", "points_finish"]
     assert chosen[0][1] == {"logistic": "logistic_small_1", "forest": "forest_full_0"} and chosen[1][1]["logistic"] == "logistic_full_1"
+
+
+def test_counts_of_differences_take_one_join(spark, monkeypatch):
+    from priorfield.operators import hot, joins
+
+    kind = "e long, x long, p double, q double"
+    rows = [(1, 1, 1.0, 2.0), (2, 1, None, 2.0), (2, 2, 0.5, None), (3, 1, 1.0, 1.0), (3, 1, 1.0, 9.0), (None, 1, 1.0, 1.0), (4, 4, 1.0, 1.0)]
+    other = [(1, 1, 1.0, 2.5), (2, 1, None, 2.0), (2, 2, 0.5, None), (3, 1, 1.0, 1.0), (None, 1, 1.0, 1.0), (5, 5, 1.0, 1.0)]
+    a, b = spark.createDataFrame(rows, kind), spark.createDataFrame(other, kind)
+    planted = F.col("e") == 2
+    wrong = b.withColumn("p", F.when(planted, F.coalesce("p", F.lit(0)) + 1).otherwise(F.col("p")))
+    want = (a.join(b, ["e", "x"]).count(), joins.table_diff(a, b, ["e", "x"], ["p", "q"]).count(), joins.table_diff(a, wrong, ["e", "x"], ["p", "q"]).count())
+    assert tuple(joins.diff_counts(a, b, ["e", "x"], ["p", "q"], planted).first()) == want == (5, 10, 12)
+    monkeypatch.setattr(hot, "TASK_ROWS", 1)
+    got = joins.diff_counts(a, b, ["e", "x"], ["p", "q"], planted, total=7)
+    assert tuple(got.first()) == want and tuple(joins.diff_counts(a.limit(0), b.limit(0), ["e", "x"], ["p", "q"], planted).first()) == (0, 0, 0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "hashpartitioning(e" in plan and ", 7)" in plan
