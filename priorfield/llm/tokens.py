@@ -34,6 +34,10 @@ def _any(parts, text: str) -> bool:
     return any(p in text for p in parts)  # a plain search for each is faster than one pattern
 
 
+#: Caches of so many words state that a worker has memory for large groups of texts.
+ROOMY = 500_000
+
+
 class _Cache(dict):
     """Numbers keys as they are first looked up, and holds the ids of each number."""
 
@@ -127,9 +131,11 @@ class Encoder:
             out[i] = ids
         return out
 
-    def encode_column(self, column: pa.Array, group: int = 1 << 19):
-        """The ids of each text of an Arrow column in turn; so many characters are encoded at a time, and
-        memory that is free again is given back now and then."""
+    def encode_column(self, column: pa.Array):
+        """The ids of each text of an Arrow column in turn; characters are encoded a group at a time, and memory
+        that is free again is given back now and then. Groups are as large as the caches allow: small caches are for
+        workers with little memory to spare."""
+        group, much = (1 << 21, 8 * MUCH) if self.limits[0] >= ROOMY else (1 << 19, MUCH)
         texts, size, since = [], 0, 0
         for value in column:
             texts.append(value.as_py())
@@ -138,7 +144,7 @@ class Encoder:
                 yield from self.encode(texts)
                 since += size
                 texts, size = [], 0
-                if since >= MUCH:
+                if since >= much:
                     give_back()
                     since = 0
         yield from self.encode(texts)

@@ -109,3 +109,15 @@ def test_alike_documents_are_neighbours(spark):
     place = {i: n for n, i in enumerate(sorted(keys, key=keys.get))}
     near = np.median([abs(place[2 * i] - place[2 * i + 1]) for i in range(40)])
     assert near <= 8  # at random: about 27
+
+
+@pytest.mark.parametrize("cache, most", [((500_000, 1_000_000), 2), ((100_000, 200_000), 5)])
+def test_groups_of_texts_are_as_large_as_the_caches_allow(monkeypatch, cache, most):
+    import pyarrow as pa
+
+    texts = ["one word after the other " * 4_000 + str(i) for i in range(25)]
+    e, calls = Encoder(public_tokenizers.path("word_bpe_49k.json"), *cache), []
+    encode = e.encode
+    monkeypatch.setattr(e, "encode", lambda some: calls.append(len(some)) or encode(some))
+    got = list(e.encode_column(pa.array(texts)))
+    assert len(calls) == most and [x.tolist() for x in got] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
