@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .hashing import mix, word_groups
-from .tokens import encoder
+from .tokens import VAST, encoder
 
 DIMENSIONS, BITS = 4, 12
 BUCKETS = 1024
@@ -79,7 +80,7 @@ def curve_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     @F.arrow_udf("long")
     def key(texts: pa.Array) -> pa.Array:
         points = np.zeros((len(texts), DIMENSIONS))
-        for first, starts, words in word_groups([t.encode() if t else b"" for t in texts.to_pylist()]):
+        for first, starts, words in word_groups([t or b"" for t in texts.cast(pa.large_binary()).to_pylist()]):
             for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
                 points[first + i] = document_point(words[a:b], matrix)
         return pa.array(curve_keys(points), pa.int64())
@@ -134,7 +135,7 @@ class _Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text",
-                   cache: tuple[int, int] = (500_000, 1_000_000)) -> DataFrame:
+                   cache: tuple[int, int] = (VAST, 1_000_000)) -> DataFrame:
     """Pack whole documents into sequences of at most ``size`` tokens; one row per piece.
 
     Every id of a document (its tokens and ``end_id``) lies in exactly one piece. A sequence is
@@ -145,7 +146,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int =
     whose ids a worker keeps: fewer take less memory and more time.
     """
     tie = F.xxhash64("doc_id")
-    ordered = curve_order(docs, id_col, text_col).withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions(
+    # the ranges are taken from all keys, so without a copy the keys would be computed twice
+    keyed = materialize(curve_order(docs, id_col, text_col).withColumn("tie", tie))
+    ordered = keyed.repartitionByRange("key", "tie").sortWithinPartitions(
         "key", "tie", "doc_id", "text").select("doc_id", "text")
     names = [c.split()[0] for c in PIECE_COLUMNS.split(", ")]
 

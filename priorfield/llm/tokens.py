@@ -7,6 +7,7 @@ the ids of the text are gathered with numpy. The result is that of encoding the
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain
@@ -23,19 +24,31 @@ _MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which contr
 _OTHER = "\x00-\x08\x0e-\x1b\x7f0-9'\u0080-¿×÷Ā-\U0010ffff"  # with control characters, which join the marks beside them
 #: A piece: white space, then letters only or marks only if nothing else touches them, else all up to the next white space.
 PIECE = re.compile(rf"[{_WHITE}]*(?:[{_LETTER}]++(?![{_OTHER}])|[{_MARK}]++(?![{_OTHER}])|[^{_WHITE}]+)|[{_WHITE}]+")
+#: A piece that is one pre-token whatever follows it, if that begins with a space too.
+_PLAIN = re.compile(f" [{_LETTER}]+")
 #: White space beyond ASCII's usual six, which may belong to one run with these: such texts are encoded whole.
 _RARE_ASCII = tuple(map(chr, range(0x1C, 0x20)))
 _RARE = tuple(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Where single spaces are not the only white space beside a space.
-_NOT_SINGLE = ("  ", *(a + " " for a in "\t\n\r\x0b\x0c"), *(" " + a for a in "\t\n\r\x0b\x0c"))
+#: Where single spaces are not the only white space beside a space; the second kind is looked for only where its character is.
+_NOT_SINGLE = ("  ", "\n ", " \n")
+_SELDOM = {a: (a + " ", " " + a) for a in "\t\r\x0b\x0c"}
 
 
 def _any(parts, text: str) -> bool:
     return any(p in text for p in parts)  # a plain search for each is faster than one pattern
 
 
-#: Caches of so many words state that a worker has memory for large groups of texts.
-ROOMY = 500_000
+#: So many plain pieces go to the library as one text.
+TOGETHER = 100
+
+#: Caches of so many words state that a worker has memory for large groups of texts, and for larger ones still.
+ROOMY, VAST = 500_000, 600_000
+
+
+def _gather(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at ``begin``, one after the other."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
 
 
 class _Cache(dict):
@@ -69,9 +82,7 @@ class _Cache(dict):
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         begin = self.starts[at]
-        size = self.starts[at + 1] - begin
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+        return _gather(self.ids, begin, self.starts[at + 1] - begin)
 
 
 class Encoder:
@@ -89,16 +100,38 @@ class Encoder:
     def _pieces(self, pieces: list[str]) -> np.ndarray:
         at = self.pieces.look_up(pieces)
         if self.pieces.new:
-            found = [x.ids for x in self.library.encode_batch_fast(self.pieces.new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self.pieces.add(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes)
+            self.pieces.add(*self._new_ids(self.pieces.new))
         return at
 
+    def _new_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has. Plain pieces go to the library some at a
+        time; it tells which word an id is of. Were the words not as many as the pieces, each would go on its own."""
+        plain, single = [], []
+        for i, piece in enumerate(pieces):
+            (plain if _PLAIN.fullmatch(piece) else single).append(i)
+        every, sizes, order = [], [], []
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k:k + TOGETHER]
+            got = self.library.encode("".join([pieces[i] for i in some]), add_special_tokens=False)
+            words = got.word_ids
+            if not words or words[-1] is None or words[-1] + 1 != len(some):
+                single += some
+                continue
+            every.append(np.array(got.ids, dtype=np.uint32))
+            sizes.append(np.bincount(words, minlength=len(some)))
+            order += some
+        found = [x.ids for x in self.library.encode_batch_fast([pieces[i] for i in single], add_special_tokens=False)]
+        every.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32))
+        sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        size = np.concatenate(sizes)
+        place = np.argsort(np.array(order + single, dtype=np.int64))
+        return _gather(np.concatenate(every), (np.cumsum(size) - size)[place], size[place]), size[place]
+
     def _alone(self, text: str) -> np.ndarray | None:
         """The ids of a text that can't be cut at single spaces; None if it can."""
         if _any(_RARE_ASCII, text) or not text.isascii() and _any(_RARE, text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if text[0] == " " or text[-1] == " " or _any(_NOT_SINGLE, text):
+        if text[0] == " " or text[-1] == " " or _any(_NOT_SINGLE, text) or any(a in text and _any(both, text) for a, both in _SELDOM.items()):
             return self.pieces.gather(self._pieces(PIECE.findall(text)))
         return None
 
@@ -120,7 +153,17 @@ class Encoder:
         return np.split(self.words.gather(at), ends[last[:-1]])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers; null counts as empty."""
+        """The ids of each text as unsigned 32-bit integers; null counts as empty. Most objects made on the way are
+        lists of strings and numbers without cycles, so the collector of cycles would look through the caches for nothing."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.pieces) > self.limits[1]:
             self.pieces = _Cache()
         if len(self.words) > self.limits[0]:
@@ -135,7 +178,8 @@ class Encoder:
         """The ids of each text of an Arrow column in turn; characters are encoded a group at a time, and memory
         that is free again is given back now and then. Groups are as large as the caches allow: small caches are for
         workers with little memory to spare."""
-        group, much = (1 << 21, 8 * MUCH) if self.limits[0] >= ROOMY else (1 << 19, MUCH)
+        sizes = (VAST, 1 << 22, 24 * MUCH), (ROOMY, 1 << 21, 8 * MUCH), (0, 1 << 19, MUCH)
+        group, much = next(size for least, *size in sizes if self.limits[0] >= least)
         texts, size, since = [], 0, 0
         for value in column:
             texts.append(value.as_py())
@@ -150,7 +194,7 @@ class Encoder:
         yield from self.encode(texts)
 
 
-def encoder(path: str, cache: tuple[int, int] = (500_000, 1_000_000)) -> Encoder:
+def encoder(path: str, cache: tuple[int, int] = (VAST, 1_000_000)) -> Encoder:
     """One encoder per file and worker process, kept from task to task until the worker does other work on
     words. ``cache`` has the most words and pieces it keeps; results do not depend on it."""
     if path not in ENCODERS or ENCODERS[path].limits != cache:

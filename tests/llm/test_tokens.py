@@ -121,3 +121,34 @@ def test_groups_of_texts_are_as_large_as_the_caches_allow(monkeypatch, cache, mo
     monkeypatch.setattr(e, "encode", lambda some: calls.append(len(some)) or encode(some))
     got = list(e.encode_column(pa.array(texts)))
     assert len(calls) == most and [x.tolist() for x in got] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_new_words_go_to_the_library_together(file):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdeghioß") for _ in range(rng.randrange(1, 9))) for _ in range(3_000)})
+    texts = [" ".join(words), "It's " + " ".join(w + rng.choice(["", ",", "7", "###", "'s"]) for w in words)]
+    e = Encoder(public_tokenizers.path(file))
+
+    class Counted:
+        calls = 0
+
+        def encode(self, text, **kind):
+            Counted.calls += 1
+            return e_library.encode(text, **kind)
+
+        def encode_batch_fast(self, some, **kind):
+            Counted.calls += len(some)
+            return e_library.encode_batch_fast(some, **kind)
+
+    e_library, e.library = e.library, Counted()
+    whole = library(file)
+    assert [x.tolist() for x in e.encode(texts[:1])] == [whole(texts[0])] and Counted.calls < len(words) / 50
+    assert [x.tolist() for x in e.encode(texts)] == [whole(t) for t in texts]
+
+
+def test_keys_are_computed_once_for_each_text(spark):
+    """The ranges are taken from stored keys: the plan that is sorted holds no Python."""
+    docs = spark.createDataFrame([(i, f"text {i}", None, None) for i in range(20)], SCHEMA)
+    plan = packing.pack_documents(docs, public_tokenizers.path(FILES[1]))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
