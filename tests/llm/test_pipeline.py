@@ -91,3 +91,22 @@ def test_stages_on_odd_and_empty_tables(spark, sf):
                 assert got.columns == docs.columns
     once = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, sf)
     assert once.filter(r"text IS NULL OR text RLIKE '^\\s*$'").count() == 1
+
+
+def test_near_copies_and_packing_take_small_batches(spark, monkeypatch):
+    """Long texts go to Python some at a time in these stages, and the setting is what it was afterwards."""
+    from helpers import SCHEMA
+    from priorfield.llm import jaccard, packing, stages
+    from priorfield.session import BATCH_ROWS
+
+    seen, before = [], spark.conf.get(BATCH_ROWS)
+
+    def noted(operator):
+        return lambda *args, **kind: seen.append(int(spark.conf.get(BATCH_ROWS))) or operator(*args, **kind)
+
+    monkeypatch.setattr(jaccard, "ngram_components", noted(jaccard.ngram_components))
+    monkeypatch.setattr(packing, "pack_documents", noted(packing.pack_documents))
+    docs = spark.createDataFrame([(i, f"{i} some words of a text", None, None) for i in range(30)], SCHEMA)
+    near = stages.near(spark, docs, None)
+    assert near.count() == 30 and stages.pack(spark, docs, None).select("doc_id").distinct().count() == 30
+    assert seen == [1_000, 1_000] and int(before) > 1_000 and spark.conf.get(BATCH_ROWS) == before
