@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from priorfield.operators import bootstrap, calibrate, metrics, models, reconcile as rec, scoring
+from priorfield.operators import bootstrap, calibrate, metrics, models, reconcile as rec, rollups, scoring
 from priorfield.operators.hot import find_hot
 
 
@@ -190,3 +190,12 @@ def test_bootstrap_leaves_out_nulls_and_shuffles_no_draws(spark):
         assert r["s_v"] == a[0] * 0.5 + a[2] * 1.5 + a[3] * 4.0 and r["w_v"] == a[0] + a[2] + a[3]
         assert r["s_n"] == 2 * a[0] + 3 * a[1] + a[2] and r["s_z"] is None
     assert len(got) == 7
+
+
+def test_field_totals_cover_every_target(spark):
+    long = spark.createDataFrame([(1, "raw", 0.25, 0.5, 1.0), (1, "raw", 0.5, 0.5, None), (1, "blended", 1.0, None, 1.0), (None, "raw", 0.0, 0.25, 0.5)],
+                                 "event long, stage string, p_win double, p_podium double, p_points double")
+    got = rollups.field_totals(long, "event", "stage", p={"win": "p_win", "podium": "p_podium", "points": "p_points"})
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([
+        (1, "raw", "win", 0.75), (1, "raw", "podium", 1.0), (1, "raw", "points", 1.0), (1, "blended", "win", 1.0), (1, "blended", "podium", None),
+        (1, "blended", "points", 1.0), (None, "raw", "win", 0.0), (None, "raw", "podium", 0.25), (None, "raw", "points", 0.5)], key=str)
