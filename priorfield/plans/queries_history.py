@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag, safe_divide
 from ..operators import joins, rollups, windows as w
+from ..session import materialize
 from .orders import EVENT_ORDER
 from .registry import query
 
@@ -339,7 +340,9 @@ def group_history(t):
     career = [w.prior_count("n"), *[w.prior_sum(f"c_{c}", c) for c in sums],
               *[w.prior_rolling_mean(f"recent_{n}_{k}", c, n) for n in (3, 5, 10) for k, c in RECENT.items()]]
     season = [w.prior_count("sn"), *[w.prior_sum(f"s_{c}", c) for c in ("entries_n", "points", "dnfs")]]
-    d = w.prior_features(group_rollup(t), [(["grp"], career), (["grp", "season"], season)], EVENT_ORDER, t.hot_group)
+    g = group_rollup(t)
+    g = materialize(g) if t.hot_group else g  # rows of large keys and all others are read apart
+    d = w.prior_features(g, [(["grp"], career), (["grp", "season"], season)], EVENT_ORDER, t.hot_group, dealt=False)
     return d.select(
         "event_id", "grp", F.col("n").alias("prior_events"), F.col("c_entries_n").alias("prior_entries"),
         safe_divide("c_points", "n").alias("points_per_event"), safe_divide("c_pf", "c_entries_n").alias("points_finish_rate"),

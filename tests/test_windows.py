@@ -165,3 +165,22 @@ def test_history_rows_are_dealt_in_proportion_to_the_table(spark, monkeypatch):
     assert plan.count("Exchange") == 1  # one deal serves every window
     large = w.prior_features(d.withColumn("k", F.least("k", F.lit(250))), sets, ["id"], hot.find_hot(d.withColumn("k", F.least("k", F.lit(250))), ["k"], 20), dealt=False)
     assert large.count() == 1000  # rows beside a large key are dealt too
+
+
+def test_chunks_of_large_keys_are_counted_limits_and_dealt_to_tasks_of_their_own(spark, monkeypatch):
+    rows = [(k, i // 3 if i % 11 else None, i, i % 7) for k in (1, None) for i in range(300)]
+    d = spark.createDataFrame(rows, "k long, o long, i long, v long")
+    groups = find_hot(d, ["k"], 40)
+    numbered = hot.chunk_hot(d, groups, ["o", "i"]).drop("v").collect()
+    for k in (1, None):  # chunks follow the order, nulls first, and hold no more than a few limits' rows
+        at = sorted(((r["o"] is not None, r["o"] or 0, r["i"]), r["_chunk"]) for r in numbered if r["k"] == k)
+        chunks = [c for _, c in at]
+        assert chunks == sorted(chunks) and len(at) == 300 and len(set(chunks)) >= 4 and max(map(chunks.count, chunks)) <= 120
+    monkeypatch.setattr(hot, "TASK_ROWS", 50)
+    specs = [w.prior_count("n"), w.prior_sum("s", "v"), w.prior_rolling_mean("r", "v", 3)]
+    keysets = [(["k"], specs), (["k", "v"], [w.prior_count("nv")])]
+    got = w.prior_features(d, keysets, ["o", "i"], groups)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert any("REPARTITION_BY_NUM" in x and "_chunk" in x for x in plan.splitlines())
+    want = w.prior_features(d, keysets, ["o", "i"], find_hot(d, ["k"], 10**6))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
