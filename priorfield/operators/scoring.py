@@ -117,9 +117,6 @@ def stack_methods(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def pivot_methods(long: DataFrame, keys, method: str, methods, values) -> DataFrame:
-    """Wide prediction table: one column per method and value."""
-    aggs = [F.first(v).alias(v) for v in values]
-    got = long.groupBy(*keys).pivot(method, list(methods)).agg(*aggs)
-    if len(values) == 1:
-        got = got.select(*keys, *[F.col(m).alias(f"{m}_{values[0]}") for m in methods])
-    return got
+    """Wide prediction table: one column per method and value. One grouping by the keys, whose deal it keeps."""
+    return long.groupBy(*keys).agg(*[F.first(F.when(F.col(method) == m, F.col(v)), ignorenulls=True).alias(f"{m}_{v}")
+                                     for m in methods for v in values])

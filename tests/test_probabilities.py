@@ -199,3 +199,12 @@ def test_field_totals_cover_every_target(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([
         (1, "raw", "win", 0.75), (1, "raw", "podium", 1.0), (1, "raw", "points", 1.0), (1, "blended", "win", 1.0), (1, "blended", "podium", None),
         (1, "blended", "points", 1.0), (None, "raw", "win", 0.0), (None, "raw", "podium", 0.25), (None, "raw", "points", 0.5)], key=str)
+
+
+def test_pivot_methods_groups_once(spark):
+    long = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "b", None), (None, "a", 1.0), (3, "c", 0.75)], "k long, method string, p double")
+    got = scoring.pivot_methods(long, ["k"], "method", ["a", "b"], ["p"])
+    assert got.columns == ["k", "a_p", "b_p"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0.5, 0.25), (2, None, None), (None, 1.0, None), (3, None, None)], key=str)
+    dealt = scoring.pivot_methods(long.repartition(3, "k"), ["k"], "method", ["a", "b"], ["p"])
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
