@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .hot import HotGroups, find_hot, join_same
+from .hot import HotGroups, find_hot
 from .metrics import log_loss_row
 from .reconcile import reconcile
 from .rollups import null_profile
@@ -57,16 +57,19 @@ def favourites(long: DataFrame, by, entrant: str, p: str, order: str) -> DataFra
     ).withColumn("agree", (F.col("favourite") == F.col("ranked_first")).cast("int"))
 
 
-def roster_gaps(long: DataFrame, outcomes: DataFrame, event: str, entrant: str) -> DataFrame:
+def roster_gaps(long: DataFrame, outcomes: DataFrame, event: str, entrant: str, hot: HotGroups | None = None) -> DataFrame:
     """Where a forecast and the outcomes of its event name different entrants, or one name twice:
-    event, method, stage, forecast rows, outcome rows and rows found on both sides."""
-    sides = outcomes.groupBy(event, entrant).agg(F.count(F.lit(1)).alias("_o"))
-    both = join_same(long.select(event, "method", "stage", entrant), sides, [event, entrant], "left")
+    event, method, stage, forecast rows, outcome rows and rows found on both sides.
+
+    Both sides are stacked and compared inside the event, so sides dealt alike by event are not shuffled again."""
+    hot = find_hot(outcomes, [event]) if hot is None else hot
+    both = long.select(event, "method", "stage", entrant, F.lit(0).alias("_o")).unionByName(
+        outcomes.select(event, entrant, F.lit(1).alias("_o")), allowMissingColumns=True)
+    both = attach_group(both, [event, entrant], hot, _sides=F.sum("_o"))
+    both = attach_group(both, [event], hot, outcome_rows=F.sum("_o")).filter(F.col("_o") == 0)
     got = both.groupBy(event, "method", "stage").agg(
-        F.count(F.lit(1)).alias("forecast_rows"), F.count(F.when(F.col("_o") == 1, F.lit(1))).alias("common_rows"),
-        F.count_distinct(F.struct(entrant)).alias("_entrants"))
-    n = outcomes.groupBy(event).agg(F.count(F.lit(1)).alias("outcome_rows"))
-    got = join_same(got, n, [event], "left").fillna(0, ["outcome_rows"])
+        F.count(F.lit(1)).alias("forecast_rows"), F.count(F.when(F.col("_sides") == 1, F.lit(1))).alias("common_rows"),
+        F.count_distinct(F.struct(entrant)).alias("_entrants"), F.first("outcome_rows").alias("outcome_rows"))
     wrong = (F.col("forecast_rows") != F.col("common_rows")) | (F.col("outcome_rows") != F.col("common_rows")) | (F.col("_entrants") != F.col("forecast_rows"))
     return got.filter(wrong).drop("_entrants")
 
@@ -81,17 +84,21 @@ def score_forecasts(long: DataFrame, outcomes: DataFrame, event: str, entrant: s
     ``long``: event, method, stage, entrant, predicted_order, p_win, p_podium, p_points.
     ``outcomes``: event, entrant, finish_order, position, points.
     """
+    hot = find_hot(outcomes, [event]) if hot is None else hot
     if strict:
-        bad = roster_gaps(long, outcomes, event, entrant).limit(5).collect()
+        bad = roster_gaps(long, outcomes, event, entrant, hot).limit(5).collect()
         if bad:
             raise ValueError(f"forecast and outcomes name different entrants, first cases: {bad}")
-    hot = find_hot(outcomes, [event]) if hot is None else hot
     o = attach_group(outcomes, [event], hot, _n=F.count(F.lit(1)))
-    o = o.select(event, entrant, "finish_order", "_n", F.coalesce(F.col("position") == 1, F.lit(False)).cast("int").alias("win"),
-                 F.coalesce(F.col("position") <= 3, F.lit(False)).cast("int").alias("podium"),
-                 F.coalesce(F.col("points") > 0, F.lit(False)).cast("int").alias("points"))
-    d = join_same(long, o.withColumnRenamed("points", "_pts"), [event, entrant])
-    d = d.withColumnRenamed("_pts", "points")
+    o = o.select(event, entrant, F.struct(
+        "finish_order", "_n", F.coalesce(F.col("position") == 1, F.lit(False)).cast("int").alias("win"),
+        F.coalesce(F.col("position") <= 3, F.lit(False)).cast("int").alias("podium"),
+        F.coalesce(F.col("points") > 0, F.lit(False)).cast("int").alias("points")).alias("_out"))
+    # every forecast row meets the outcomes of its entrant inside the event, as in a join
+    d = long.select(event, "method", "stage", entrant, "predicted_order", *[f"p_{r}" for r in ROLES], F.lit(1).alias("_forecast")).unionByName(
+        o, allowMissingColumns=True)
+    d = attach_group(d, [event, entrant], hot, _outs=F.collect_list("_out")).filter(F.col("_forecast") == 1).drop("_out", "_forecast")
+    d = d.select("*", F.explode("_outs").alias("_out")).select(event, "method", "stage", entrant, "predicted_order", *[f"p_{r}" for r in ROLES], "_out.*")
     off = (F.col("predicted_order") - F.col("finish_order")).cast("double")
     n = F.max("_n").cast("double")
     aggs = []

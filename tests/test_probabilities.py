@@ -208,3 +208,21 @@ def test_pivot_methods_groups_once(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0.5, 0.25), (2, None, None), (None, 1.0, None), (3, None, None)], key=str)
     dealt = scoring.pivot_methods(long.repartition(3, "k"), ["k"], "method", ["a", "b"], ["p"])
     assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_score_forecasts_stays_inside_the_deal_by_event(spark):
+    schema = "event long, method string, stage string, entrant string, predicted_order int, p_win double, p_podium double, p_points double"
+    long = spark.createDataFrame([(1, "m", "raw", "a", 1, 0.5, 0.5, 0.5), (1, "m", "raw", None, 2, 0.25, 0.5, 0.5), (None, "m", "raw", "a", 1, 0.5, 0.5, 0.5),
+                                  (2, "m", "raw", "a", 1, 0.5, 0.5, 0.5), (2, "m", "raw", "z", 2, 0.5, 0.5, 0.5)], schema)
+    out = spark.createDataFrame([(1, "a", 1, 1, 25.0), (1, None, 2, None, 0.0), (None, "a", 1, 1, 25.0), (2, "a", 1, 1, 25.0), (2, "a", 3, 3, 15.0)],
+                                "event long, entrant string, finish_order int, position int, points double")
+    none = find_hot(out, ["event"], 10**6)
+    gaps = {tuple(r) for r in scoring.roster_gaps(long, out, "event", "entrant").collect()}
+    assert gaps == {(2, "m", "raw", 2, 0, 2)}  # nulls match nulls, an entrant named twice and one unknown do not
+    for hot in (none, find_hot(out, ["event"], 1)):
+        got = {r["event"]: r for r in scoring.score_forecasts(long, out, "event", "entrant", hot, strict=False).collect()}
+        assert set(got) == {1, 2, None} and got[1]["mae"] == 0.0 and got[None]["winner_top1"] == 1
+        assert got[2]["mae"] == 1.0 and got[2]["win_brier"] == 0.25  # two outcomes of one entrant make two rows
+    a, b = long.repartition(3, "event"), out.repartition(3, "event")
+    plan = scoring.score_forecasts(a, b, "event", "entrant", none, strict=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
