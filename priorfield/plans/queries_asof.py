@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..operators import asof, joins, rollups, windows as w
+from ..operators.hot import deal, spread
 from ..session import materialize
 from .orders import EVENT_ORDER
 from .queries_history import STANDINGS_SQL, standings
@@ -178,10 +179,13 @@ def train_serve_parity(t):
     train = w.prior_features(h, PROBE, EVENT_ORDER, t.hot_entrant, dealt=False)
     q = h.select(*KEY, F.col("event_date").alias("cutoff"))
     serve = asof.asof_features(q, h, PROBE, EVENT_ORDER, "cutoff", t.hot_entrant)
-    once = h.groupBy("entrant", "event_date").agg(F.count(F.lit(1)).alias("c"), F.min("event_id").alias("event_id")).filter(F.col("c") == 1).select(*KEY)
+    days = deal(h.select(*KEY, "event_date"), t.hot_entrant).groupBy("entrant", "event_date")
+    once = days.agg(F.count(F.lit(1)).alias("c"), F.min("event_id").alias("event_id")).filter(F.col("c") == 1).select(*KEY)
     cols = ["n", "avg_finish", "points_before", "recent_5"]
-    a, b = (materialize(joins.semi(d, once, KEY).select(*KEY, *cols)) for d in (train, serve))
-    return joins.diff_counts(a, b, KEY, cols, F.col("event_id") % 10 == 0, rtol=1e-10, atol=1e-10, total=t.hot_event.total)
+    # dealt by the keys once: the comparison keeps that deal
+    total = t.hot_event.total
+    a, b = (joins.semi(spread(d.select(*KEY, *cols), KEY, total), spread(once, KEY, total), KEY) for d in (train, serve))
+    return joins.diff_counts(a, b, KEY, cols, F.col("event_id") % 10 == 0, rtol=1e-10, atol=1e-10)
 
 
 @query("next_event", f"SELECT venue, arg_min(event_id, (event_date, event_id)) AS event_id FROM events_t WHERE event_date > {CUT} GROUP BY 1", base="events")
