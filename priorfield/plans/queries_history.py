@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag, safe_divide
 from ..operators import joins, rollups, windows as w
+from ..operators.hot import deal, join_dealt
 from ..session import materialize
 from .orders import EVENT_ORDER
 from .registry import query
@@ -409,18 +410,20 @@ def prior_season_last_event(t):
   LEFT JOIN fin f ON f.season + 1 = h.season AND f.entrant = h.entrant WHERE h.season >= 1996""")
 def full_feature_table(t):
     """Entrant, group, venue and season history joined; the first season is cut after the windows."""
-    base = t.saved()
     sets = entrant_keysets()
+    used = ["event_id", "event_date", "season", "venue", "entrant", "grp", "split", "start_slot", "win", "points"]
+    base = t.saved(*dict.fromkeys([*used, *[s.col for _, specs in sets for s in specs if s.col]]))
     h = w.prior_features(base, sets, EVENT_ORDER, t.hot_entrant, dealt=False)
-    g = rollups.group_event_rollup(base, "event_id", "grp", ["event_date"], points=F.sum("points"))
-    g = w.prior_features(g, [(["grp"], [w.prior_count("g_events"), w.prior_sum("_p", "points")])], EVENT_ORDER, t.hot_group)
-    g = g.select("event_id", "grp", "g_events", safe_divide("_p", "g_events").alias("g_points_per_event"))
-    v = rollups.venue_event_rollup(base, "event_id", "venue", "win", "start_slot", ["event_date"])
-    v = w.prior_features(v, [(["venue"], [w.prior_count("v_events"), w.prior_mean("v_winner_slot", "winner_slot")])], EVENT_ORDER, t.hot_venue).select("event_id", "v_events", "v_winner_slot")
+    by_event = deal(base, t.hot_event)
+    v = rollups.venue_event_rollup(by_event, "event_id", "venue", "win", "start_slot", ["event_date"])
+    v = w.prior_features(v, [(["venue"], [w.prior_count("v_events"), w.prior_mean("v_winner_slot", "winner_slot")])], EVENT_ORDER, t.hot_venue, dealt=False).select("event_id", "v_events", "v_winner_slot")
+    g = rollups.group_event_rollup(by_event, "event_id", "grp", ["event_date"], points=F.sum("points"))
+    g = joins.lookup(g, deal(v, t.hot_event), "event_id", t.hot_event)  # on the narrow rows of the groups, which lie by event
+    g = w.prior_features(g, [(["grp"], [w.prior_count("g_events"), w.prior_sum("_p", "points")])], EVENT_ORDER, t.hot_group, dealt=False)
+    g = g.select("event_id", "grp", "g_events", safe_divide("_p", "g_events").alias("g_points_per_event"), "v_events", "v_winner_slot")
     s = base.groupBy("season", "entrant").agg(F.sum("points").alias("previous_season_points")).withColumn("season", F.col("season") + 1)
-    d = joins.join_nullsafe(h.filter(F.col("season") >= 1996), g, ["event_id", "grp"])
-    d = joins.lookup(d, v, "event_id", t.hot_event)
-    d = joins.join_nullsafe(d, s, ["season", "entrant"], "left")
+    d = join_dealt(h.filter(F.col("season") >= 1996), s, ["season", "entrant"], t.hot_entrant, "left")
+    d = join_dealt(d, g, ["event_id", "grp"], t.hot_event)
     return d.select("event_id", "entrant", "split", "prior_entries", "career_avg_finish", "recent_5_avg_finish", "season_points", "venue_entries", "group_entries",
                     "g_events", "g_points_per_event", "v_events", "v_winner_slot", "previous_season_points")
 

@@ -41,3 +41,27 @@ def test_train_serve_parity_compares_on_the_deal_of_its_join(spark, folder, monk
     monkeypatch.setattr(hot, "TASK_ROWS", 100)
     many, _, _ = run(spark, folder, "train_serve_parity")
     assert few == many and few[0][0] > 200 and few[0][1] == 0
+
+
+def test_full_feature_table_deals_its_joins(spark, folder, monkeypatch):
+    few, _, _ = run(spark, folder, "full_feature_table")
+    monkeypatch.setattr(hot, "TASK_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many, plan, _ = run(spark, folder, "full_feature_table")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert few == many and len(few) > 200
+    for key in ("season", "event_id"):  # both sides of the null-safe joins keep their own deal
+        assert sum("REPARTITION_BY_NUM" in x and f"hashpartitioning(coalesce({key}" in x for x in plan.splitlines()) >= 2
+
+
+def test_dealt_join_matches_nulls(spark, monkeypatch):
+    monkeypatch.setattr(hot, "TASK_ROWS", 2)
+    a = spark.createDataFrame([(1, "x", 1), (None, "x", 2), (0, None, 3), (2, "", 4)], "k long, s string, a long")
+    b = spark.createDataFrame([(1, "x", 10), (None, "x", 20), (0, None, 30), (0, "", 40), (1, "x", 50)], "k long, s string, b long")
+    groups = hot.find_hot(a, ["k"])
+    for how, extra in (("inner", []), ("left", [(2, "", 4, None)])):
+        got = hot.join_dealt(a, b, ["k", "s"], groups, how).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, "x", 1, 10), (1, "x", 1, 50), (None, "x", 2, 20), (0, None, 3, 30), *extra], key=str)
+        assert sum(r["b"] == 40 for r in got) == 0
