@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priorfield.operators import bootstrap, calibrate, metrics, models, reconcile as rec, rollups, scoring
+from priorfield.operators import hot as hot_module
 from priorfield.operators.hot import find_hot
 
 
@@ -226,3 +227,18 @@ def test_score_forecasts_stays_inside_the_deal_by_event(spark):
     a, b = long.repartition(3, "event"), out.repartition(3, "event")
     plan = scoring.score_forecasts(a, b, "event", "entrant", none, strict=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_curves_of_large_keys_are_dealt_and_counted(spark, monkeypatch):
+    monkeypatch.setattr(hot_module, "TASK_ROWS", 100)
+    rows = [(k, i, i * i % 3 % 2, (i * 7 % 10) / 10) for k in (1, 2, None) for i in range(400 if k == 1 else 90)]
+    d = spark.createDataFrame(rows, "k long, id long, y int, p double")
+    plain, large = find_hot(d, ["k"]), find_hot(d, ["k"], 100)
+    assert large and not plain
+    want, got = (sorted(map(tuple, metrics.average_precision(d, "y", "p", ["k"], ["id"], h).collect()), key=str) for h in (plain, large))
+    assert [w[0] for w in want] == [g[0] for g in got] and np.allclose([w[1] for w in want], [g[1] for g in got], rtol=1e-12)
+    plan = metrics.average_precision(d, "y", "p", ["k"], ["id"], plain)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    auc = metrics.roc_auc(d, "y", "p", ["k"], large)
+    assert "_chunk" not in auc._jdf.queryExecution().toString()  # ten counts for a key are few
+    assert sorted(map(tuple, auc.collect()), key=str) == sorted(map(tuple, metrics.roc_auc(d, "y", "p", ["k"], plain).collect()), key=str)
